@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ctxengine.llm.shared import written
 
 #: The end of a document; entries of a worker's cache; rows of a bucket of ranks.
-END, CACHE, BUCKET_ROWS = 0, 300_000, 2000
+END, CACHE, BUCKET_ROWS = 0, 600_000, 2000
 #: A piece of text that no token of a byte-level vocabulary spans: white space before a word
 #: is the word's own only if it is one blank.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -62,6 +62,17 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, words: list[str]) -> dict[str, bytes]:
+        """Of pieces without a line's end, encoded as the lines of one text: a line's end
+        before a piece is always a token of its own."""
+        line = self._ids(["\n"])[0]
+        whole = np.frombuffer(self._ids(["\n".join(words)])[0], "<u4")
+        ends = np.flatnonzero(whole == np.frombuffer(line, "<u4")[0])
+        if len(line) != 4 or len(ends) != len(words) - 1:
+            return {}
+        raw, cuts = whole.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(whole)]
+        return {w: raw[a + 4 : b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [None if UNLIKE.search(t) else CHUNK.findall(t) for t in texts]
         known = self.cache
@@ -69,9 +80,12 @@ class Encoder:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list({c for p in parts if p for c in p})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            known.update(zip(some, self._ids(some), strict=True))
+        words = [c for c in new if not c.isspace()]
+        for at in range(0, len(words), 20_000):
+            known.update(self._lines(words[at : at + 20_000]))
+        for c in new:
+            if c not in known:
+                known[c] = self._ids([c])[0]
         look = known.__getitem__
         return [self._ids([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, parts, strict=True)]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxengine.llm import merkle, mixing, packing, secrets, simhash, url_tree
+from ctxengine.llm import cover_tree, merkle, mixing, packing, secrets, simhash, url_tree
 
 
 def _read(spark, sf_dir, table):
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_url_filter": lambda spark, d: url_tree.report(_read(spark, d, "pages"), _read(spark, d, "labels")),
     "op4_merkle_fingerprint": lambda spark, d: merkle.report(_read(spark, d, "documents")),
     "op5_mix_sources": lambda spark, d: mixing.report(_read(spark, d, "documents")),
+    "op8_cover_tree_dedup": lambda spark, d: cover_tree.report(_read(spark, d, "embeddings")),
     "op9_pack_sequences": lambda spark, d: packing.report(_read(spark, d, "documents")),
     "op10_simhash_dedup": lambda spark, d: simhash.report(_read(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: secrets.report(_read(spark, d, "documents")),
