@@ -10,6 +10,7 @@ as many as a bin has tokens, and the plan's size does not follow the number of d
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,13 +23,12 @@ from pyspark.sql import functions as F
 
 from ctxengine.llm.shared import written
 
-#: The end of a document; entries of a worker's cache; rows of a bucket of ranks.
-END, CACHE, BUCKET_ROWS = 0, 600_000, 2000
-#: A piece of text that no token of a byte-level vocabulary spans: white space before a word
-#: is the word's own only if it is one blank.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: What only one of the two engines of regular expressions counts as white space.
-UNLIKE = re.compile("[\x1c-\x1f]")
+#: The end of a document; rows of a bucket of ranks.
+END, BUCKET_ROWS = 0, 2000
+#: Fixed value: how a byte-level vocabulary cuts text before it merges bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the two engines of regular expressions may not both call white space.
+UNLIKE = re.compile("[\x1c-\x1f\x85]")
 
 
 @dataclass(frozen=True)
@@ -46,48 +46,51 @@ class Capacity:
         return np.array([self.tokens, self.docs or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for
+    themselves, all others, in their order, for those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def same_merges(path: str):
+    """The file's vocabulary for the faster of two libraries, or None where ids could differ:
+    pieces must be byte-level ones, merged in the order of the ids that they make."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges", [])]
+    if model["type"] != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or made != sorted(made):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    code = byte_of()
+    ranks = {bytes(code[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Texts to the bytes of their ids (little-endian, unsigned, 32 bits).
 
-    Equal to the tokenizer's own encoding of whole texts; pieces of text are kept in a bounded
-    cache. The strings of special tokens are ordinary text."""
+    The ids are those of the tokenizer of the file at `path`, without special tokens, whose
+    strings are ordinary text; a faster library with the same vocabulary finds them where
+    both are known to agree."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _lines(self, words: list[str]) -> dict[str, bytes]:
-        """Of pieces without a line's end, encoded as the lines of one text: a line's end
-        before a piece is always a token of its own."""
-        line = self._ids(["\n"])[0]
-        whole = np.frombuffer(self._ids(["\n".join(words)])[0], "<u4")
-        ends = np.flatnonzero(whole == np.frombuffer(line, "<u4")[0])
-        if len(line) != 4 or len(ends) != len(words) - 1:
-            return {}
-        raw, cuts = whole.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(whole)]
-        return {w: raw[a + 4 : b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+        self.fast = same_merges(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if UNLIKE.search(t) else CHUNK.findall(t) for t in texts]
-        known = self.cache
-        new = list({c for p in parts if p for c in p if c not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({c for p in parts if p for c in p})
-        words = [c for c in new if not c.isspace()]
-        for at in range(0, len(words), 20_000):
-            known.update(self._lines(words[at : at + 20_000]))
-        for c in new:
-            if c not in known:
-                known[c] = self._ids([c])[0]
-        look = known.__getitem__
-        return [self._ids([t])[0] if p is None else b"".join(map(look, p)) for t, p in zip(texts, parts, strict=True)]
+        slow = {i: None for i, t in enumerate(texts) if self.fast is None or UNLIKE.search(t)}
+        out = [b"" if i in slow else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for i, t in enumerate(texts)]
+        for i, e in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
