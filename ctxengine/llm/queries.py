@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxengine.llm import cover_tree, licenses, merkle, mixing, packing, secrets, simhash, url_tree
+from ctxengine.llm import cover_tree, langid, licenses, merkle, mixing, packing, secrets, simhash, url_tree
 
 
 def _read(spark, sf_dir, table):
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_cover_tree_dedup": lambda spark, d: cover_tree.report(_read(spark, d, "embeddings")),
     "op9_pack_sequences": lambda spark, d: packing.report(_read(spark, d, "documents")),
     "op10_simhash_dedup": lambda spark, d: simhash.report(_read(spark, d, "documents")),
+    "op6_language_id": lambda spark, d: langid.report(_read(spark, d, "documents"), _read(spark, d, "pages")),
     "op7_secret_scan": lambda spark, d: secrets.report(_read(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {}

@@ -8,22 +8,30 @@ exceeds the radius.
 Which fingerprints are compared: cut into m blocks of bits, two that differ in r bits at most
 agree in m - r blocks, so they share one of the C(m, r) choices of blocks. m follows the number
 of fingerprints, so that a choice has as many bits as tell them apart.
+
+Texts that are to share most shingles, but not nearly all, differ in more bits than blocks can
+serve. deduplicated() takes wider fingerprints, whose bands of bits find them with a stated
+recall, compares bits in the same way, and then the shingles themselves of what is near.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxengine.llm.shared import components, written
 
 SEED = 42
+#: Of deduplicated(): bits that are compared, rows of a block of texts, and how far apart, in
+#: standard deviations, the bits of two texts may lie from what their similarity makes likely.
+COMPARED, TEXT_BLOCK, DEVIATIONS = 128, 256, 3.5
 #: Rows of a compared block; buckets above it are cut into pairs of blocks.
 BLOCK = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -38,33 +46,49 @@ def shingles(text: str | None, k: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*columns, strict=True)]
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Another hash of each hash, by the finaliser of SplitMix64."""
+    z = h + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def fingerprint(text: str | None, k: int, bits: int = 64) -> bytes:
     """Big-endian; a bit is 1 if set in over half of the shingles' hashes. Zero without words.
 
-    Words of 64 bits after the first come from the seeds that follow."""
-    found = shingles(text, k)
-    out = b""
-    for seed in range(SEED, SEED + bits // 64):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(found), 65536):
-            part = found[at : at + 65536]
-            raw = np.frombuffer(b"".join([xxhash.xxh64_digest(x, seed) for x in part]), np.uint8)
-            total += np.unpackbits(raw).reshape(-1, 64).sum(0, dtype=np.int64)
-        out += np.packbits(2 * total > len(found)).tobytes()
-    return out
+    Words of 64 bits after the first are made of hashes of the hashes."""
+    return _fingerprint(shingles(text, k), bits)
+
+
+def _fingerprint(found: list[bytes], bits: int) -> bytes:
+    total = np.zeros((bits // 64, 64), np.int64)
+    for at in range(0, len(found), 65536):
+        h = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in found[at : at + 65536]]), ">u8").astype(np.uint64)
+        for word in range(bits // 64):
+            total[word] += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+            h = _spread(h)
+    return np.packbits(2 * total.ravel() > len(found)).tobytes()
 
 
 def fingerprints(docs: DataFrame, k: int, bits: int = 64) -> DataFrame:
-    """doc_id and fp (binary) for every row of docs; null text is the empty text."""
+    """doc_id, fp and same (binary), mark (long) for every row of docs: its fingerprint, a digest
+    of its words, equal where they are, and xxhash64 of its text. Null text is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                fps = [fingerprint(t.as_py(), k, bits) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+                fps, same, mark = [], [], []
+                for t in part.column(1):
+                    text = t.as_py() or ""
+                    fps.append(fingerprint(text, k, bits))
+                    same.append(xxhash.xxh3_128_digest(b" ".join(text.encode().translate(_LOWER).split())))
+                    mark.append(xxhash.xxh64_digest(text.encode(), SEED))
+                marks = np.frombuffer(b"".join(mark), ">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.binary()), pa.array(same, pa.binary()), pa.array(marks)], ["doc_id", "fp", "same", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary, same binary, mark long")
 
 
 def planes(words: np.ndarray) -> np.ndarray:
@@ -144,36 +168,38 @@ def blocks_for(n: int, bits: int, radius: int) -> int:
     return m
 
 
-def candidates(fps: DataFrame, n: int, bits: int, radius: int) -> DataFrame:
-    """key, pair, side, id, fp: rows that are compared with those of the same key and pair.
+def shown(fp: str, bits: int) -> Column:
+    """The bits of a binary column as text."""
+    return F.concat(*[F.lpad(F.conv(F.substring(F.hex(fp), 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(bits // 32)])
+
 
-    fps: id (long, unique), fp. Keys with one row are left out. A key with more than a block
-    of rows is cut into blocks by id; each pair of them has a number of its own, so that no
-    task needs all rows of a key."""
+def block_keys(n: int, bits: int, radius: int) -> Column:
+    """One key for each choice of blocks, of a column `shown`."""
     m = blocks_for(n, bits, radius)
     cut = [bits * i // m for i in range(m + 1)]
-    keys = []
-    shown = F.concat(*[F.lpad(F.conv(F.substring(F.hex("fp"), 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(bits // 32)])
-    for c in combinations(range(m), m - radius):
-        own = F.concat(*[F.substring("shown", cut[i] + 1, cut[i + 1] - cut[i]) for i in c])
-        keys.append(F.xxhash64(F.lit(len(keys)), own))
-    rows = fps.select("id", "fp", shown.alias("shown"))
-    rows = rows.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
+    choices = list(combinations(range(m), m - radius))
+    return F.array(*[F.xxhash64(F.lit(k), F.concat(*[F.substring("shown", cut[i] + 1, cut[i + 1] - cut[i]) for i in c])) for k, c in enumerate(choices)])
+
+
+def paired(rows: DataFrame, block: int) -> DataFrame:
+    """rows with pair and side, for comparing those that share a `key` (long).
+
+    Keys with one row are left out. A key with more than a block of rows is cut into blocks by
+    id; each pair of blocks is a pair of its own, so that no task needs all rows of a key."""
     rows = written(rows, "keys")
     size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    rows = rows.join(size, "key")
-    many = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("many", many).withColumn("block", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
+    rows = rows.join(size, "key").withColumn("many", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("many")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("many") == 1, F.lit(0)).when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int"))
-    return rows.select(F.xxhash64("key", low, high).alias("pair"), side.alias("side"), "id", "fp")
+    side = F.when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int"))
+    return rows.withColumn("side", side).withColumn("pair", F.xxhash64("key", low, high)).drop("many", "block", "other", "n", "key")
 
 
-def linked(fps: DataFrame, n: int, bits: int, radius: int, every: bool = False) -> DataFrame:
-    """a, b: pairs of ids whose fingerprints differ in `radius` bits at most.
+def linked(rows: DataFrame, radius: int, every: bool = False) -> DataFrame:
+    """a, b: pairs of ids that share a key and whose fingerprints differ in `radius` bits at most.
 
-    With every, all of them; else for each compared chunk as many as join its components."""
+    rows: id (long, unique), fp, keys (array of long). With every, all of them; else for each compared chunk as many as join its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -218,7 +244,7 @@ def linked(fps: DataFrame, n: int, bits: int, radius: int, every: bool = False)
             for at, *columns in chunks(True):
                 yield compare(*[c[at] for c in columns])
 
-    rows = candidates(fps, n, bits, radius)
+    rows = paired(rows.select("id", "fp", F.explode("keys").alias("key")), BLOCK).select("pair", "side", "id", "fp")
     rows = rows.repartition("pair").sortWithinPartitions("pair", "side")
     return rows.mapInArrow(run, "a long, b long")
 
@@ -232,12 +258,13 @@ def grouped(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     part; a component of only such rows has a null component_id. Equal fingerprints are one
     row from here on, so a group of copies, however large, is one fingerprint.
     """
-    fps = written(fingerprints(docs, k), "fingerprints")
+    fps = written(fingerprints(docs, k).select("doc_id", "fp"), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # A class is named by its own fingerprint's bits, which order nothing; its least doc_id does.
     number = F.conv(F.hex("fp"), 16, -10).cast("long")
     classes = written(classes.select(number.alias("id"), "fp", "least"), "classes")
-    edges = linked(classes.select("id", "fp"), classes.count(), 64, radius)
+    keyed = classes.select("id", "fp", shown("fp", 64).alias("shown")).select("id", "fp", block_keys(classes.count(), 64, radius).alias("keys"))
+    edges = linked(keyed, radius)
     groups = components(edges)
     member = classes.join(groups, F.col("id") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "id").alias("group"))
     member = written(member, "members")
@@ -248,3 +275,101 @@ def grouped(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def agreement(similarity: float) -> float:
+    """The chance that a bit is equal in two sets of equal size with that Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bands_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits of a band, bands): bands tell n fingerprints apart, and two texts of that very
+    similarity share a band with chance `recall`; more similar ones share one more surely."""
+    bits = max(12, n.bit_length() - 5)
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agreement(similarity) ** bits))
+
+
+def similar(sets: list[np.ndarray], others: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets with that Jaccard similarity or more; sets are sorted and distinct."""
+    m, n = len(sets), len(others)
+    sizes = np.array([len(s) for s in sets]), np.array([len(s) for s in others])
+    values, at = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    owner = np.repeat(np.arange(m + n), np.concatenate(sizes))
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    both = np.zeros((m, n), np.float32)
+    for low in range(0, len(values), 4096):
+        s, e = np.searchsorted(at, [low, low + 4096])
+        here = np.zeros((m + n, 4096), np.float32)
+        here[owner[s:e], at[s:e] - low] = 1
+        both += here[:m] @ here[m:].T
+    return np.nonzero(both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-6)
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                own = [np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(t.as_py(), k)], np.uint64)).tobytes() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], ["key", "id", "shingles"])
+
+    return docs.mapInArrow(run, "key long, id long, shingles binary")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """docs with one document of each group of near-duplicates, that of the smallest doc_id.
+
+    Texts whose sets of k-word shingles have that Jaccard similarity or more are linked, and
+    links make groups; texts with the same words always are. Null text is the empty text. A
+    null doc_id is larger than all others; rows of one doc_id and text are one document.
+    Columns are those of docs, whatever their names. Pairs are found by bands of a wide
+    fingerprint (`recall` is the chance for the least similar ones), compared bit by bit, and
+    confirmed by their shingles; no group of copies meets as a whole in one task.
+    """
+    n = docs.count()
+    bits, bands = bands_for(n, similarity, recall)
+    width = max(COMPARED, -(-bits * bands // 64) * 64)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    fps = written(fingerprints(docs, k, width), "fingerprints")
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
+    classes = fps.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by("mark", F.struct(rank, "mark")).alias("mark"), F.min("fp").alias("fp"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("shown", 1 + i * bits, bits)) for i in range(bands)])
+    keyed = classes.select("id", "fp", shown("fp", width).alias("shown")).select("id", F.substring("fp", 1, COMPARED // 8).alias("fp"), keys.alias("keys"))
+    chance = 1 - agreement(similarity)
+    radius = math.ceil(COMPARED * chance + DEVIATIONS * math.sqrt(COMPARED * chance * (1 - chance)))
+    groups = components(linked(keyed, radius))
+    # One text for each class, that of its smallest doc_id.
+    chosen = written(classes.join(groups, F.col("id") == F.col("node")).select("id", F.col("component").alias("key"), "least", "mark"), "chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("own"), mark.alias("own_mark"), "text")
+    one = chosen.hint("shuffle_hash").join(texts, F.col("least").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark"))).select("key", "id", "text")
+    sets = _sets(one, k).dropDuplicates(["key", "id"])
+
+    def confirm(key, pdf):
+        import pandas as pd
+
+        own = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
+        ids, side = pdf["id"].to_numpy(), pdf["side"].to_numpy()
+        first = np.flatnonzero(side == 0)
+        second = np.flatnonzero(side == 1) if side.any() else first
+        i, j = similar([own[x] for x in first], [own[x] for x in second], similarity)
+        i, j = ids[first[i]], ids[second[j]]
+        keep = i != j
+        a, b = forest(i[keep], j[keep]) if keep.any() else (i[:0], j[:0])
+        return pd.DataFrame({"a": a, "b": b})
+
+    edges = paired(sets, TEXT_BLOCK).groupBy("pair").applyInPandas(confirm, "a long, b long")
+    linked_ = components(written(edges, "links"))
+    member = classes.join(linked_.withColumnRenamed("node", "id"), "id", "left").select("same", "least", F.coalesce("component", "id").alias("group"))
+    member = written(member, "members")
+    least = member.groupBy("group").agg(F.min("least").alias("least_of_group"))
+    member = written(member.join(least, "group").select("same", "least_of_group"), "members")
+    placed = fps.join(member, "same")
+    gone = written(placed.where(~F.col("doc_id").eqNullSafe(F.col("least_of_group"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "gone")
+    stay = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    # One doc_id may have several texts of one group, or one text in several rows.
+    own = placed.where(F.col("doc_id").eqNullSafe(F.col("least_of_group"))).groupBy("doc_id", "least_of_group").agg(F.count(F.lit(1)).alias("n"))
+    if own.where("n > 1").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id"])
+    return stay

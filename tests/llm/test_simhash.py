@@ -93,5 +93,6 @@ def test_hot_keys_are_cut_into_pairs_of_blocks(spark, monkeypatch, block):
     rng = np.random.default_rng(5)
     x = {int(i): int(v) for i, v in enumerate(np.unique(np.concatenate([rng.integers(0, 2**63, 80, dtype=np.uint64), np.uint64(77 << 40) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64))])))}
     df = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in x.items()], "id long, fp binary")
-    got = {tuple(sorted((r["a"], r["b"]))) for r in simhash.linked(df, len(x), 64, 3, every=True).collect()}
+    keyed = df.select("id", "fp", simhash.shown("fp", 64).alias("shown")).select("id", "fp", simhash.block_keys(len(x), 64, 3).alias("keys"))
+    got = {tuple(sorted((r["a"], r["b"]))) for r in simhash.linked(keyed, 3, every=True).collect()}
     assert got == {(a, b) for a in x for b in x if a < b and (x[a] ^ x[b]).bit_count() <= 3}
