@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxengine.llm import cover_tree, langid, licenses, merkle, mixing, packing, secrets, simhash, url_tree
+from ctxengine.llm import cover_tree, katz, langid, licenses, merkle, mixing, packing, secrets, simhash, url_tree
 
 
 def _read(spark, sf_dir, table):
@@ -11,6 +11,7 @@ def _read(spark, sf_dir, table):
 
 QUERIES = {
     "op1_license_scan": lambda spark, d: licenses.scan(_read(spark, d, "documents")),
+    "op2_katz_score": lambda spark, d: katz.report(_read(spark, d, "documents")),
     "op3_url_filter": lambda spark, d: url_tree.report(_read(spark, d, "pages"), _read(spark, d, "labels")),
     "op4_merkle_fingerprint": lambda spark, d: merkle.report(_read(spark, d, "documents")),
     "op5_mix_sources": lambda spark, d: mixing.report(_read(spark, d, "documents")),
