@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,21 +48,26 @@ class _Numbers(dict):
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; whole numbers in the fewest bytes that hold them."""
+    """Arrays as compressed bytes, all first bytes of the values, then all second ones, and so
+    on; whole numbers in the fewest bytes that hold them."""
     out = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
         if a.dtype.kind != "f":
             top = int(a.max()) if len(a) else 0
             a = a.astype(next(t for t in _TYPES if top < 256 ** int(t[2])))
-        out += [bytes([_TYPES.index(a.dtype.str if a.dtype.itemsize > 1 else "<u1")]), len(a).to_bytes(8, "little"), a.tobytes()]
-    return b"".join(out)
+        kind = _TYPES.index(a.dtype.str if a.dtype.itemsize > 1 else "<u1")
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+        out += [bytes([kind]), len(a).to_bytes(8, "little"), planes]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
     out, at = [], 2
     for _ in range(int.from_bytes(raw[:2], "little")):
         kind, n = np.dtype(_TYPES[raw[at]]), int.from_bytes(raw[at + 1 : at + 9], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 9))
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 9).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
         at += 9 + n * kind.itemsize
     return out
 
@@ -82,9 +88,12 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         def block():
             nonlocal made
             words = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)
+            order = np.argsort(words)
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
             name = f"{TaskContext.get().partitionId()}-{made}"
             made += 1
-            row = [[name], [ids], [held], [sizes], [words.tobytes()], [_pack(np.concatenate(tokens))]]
+            row = [[name], [ids], [held], [sizes], [_pack(words[order])], [_pack(place[np.concatenate(tokens)])]]
             kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], ["block", "ids", "held", "sizes", "words", "tokens"])
 
@@ -148,10 +157,10 @@ def weights(sums: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Block:
     """A block's tokens, and what the levels so far say of them."""
 
-    def __init__(self, sizes, held, words: bytes, tokens: bytes, buckets: int):
+    def __init__(self, sizes, held, words: bytes | None, tokens: bytes, buckets: int):
         self.buckets = buckets
         self.token = _unpack(tokens)[0].astype(np.int64)
-        self.words = np.frombuffer(words, np.uint64)
+        self.words = None if words is None else _unpack(words)[0]
         sizes = np.asarray(sizes, np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.place = np.arange(len(self.token)) - np.repeat(self.starts, sizes)
@@ -183,10 +192,14 @@ class Block:
         # A frequent history has parts, a part for each share of the tokens that a bucket gets.
         self.parts = np.full(1, self.buckets) if many is None else np.clip(-(-many[at] * 2 * self.buckets // max(1, total)), 1, self.buckets)
         offset = np.cumsum(self.parts) - self.parts
-        group = offset[head] + (_mix(key) % self.parts[head].astype(np.uint64)).astype(np.int64)
+        if k == 1:
+            share = (key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
+        else:
+            share = _mix(key) % self.parts[head].astype(np.uint64)
+        group = offset[head] + share.astype(np.int64)
         self.group_head = np.repeat(np.arange(len(self.heads)), self.parts)
         part = np.arange(len(self.group_head)) - offset[self.group_head]
-        bucket = ((_mix(self.heads)[self.group_head].astype(np.int64) + part) % self.buckets)
+        bucket = part if k == 1 else (_mix(self.heads)[self.group_head].astype(np.int64) + part) % self.buckets
         self.group_order = np.argsort(bucket, kind="stable")
         rank = np.empty_like(self.group_order)
         rank[self.group_order] = np.arange(len(rank))
@@ -204,8 +217,18 @@ class Block:
         self.cuts = {b: (slice(group_cut[b], group_cut[b + 1]), slice(cut[b], cut[b + 1])) for b, _ in out}
         return out
 
-    def hear(self, answers: list[tuple[int, bytes]], level: Level) -> None:
-        """Takes the buckets' answers; p is then the probability of each token at this level."""
+    def _first(self, answers: list[tuple[int, bytes]]):
+        """Counts, numbers and sums of the first level, without the question."""
+        self.level, self.valid, self.inverse = 1, np.arange(len(self.token)), self.token
+        heard = [_unpack(raw) for _, raw in sorted(answers)]
+        count = np.concatenate([a[0] for a in heard]).astype(np.int64)
+        if len(answers) != self.buckets or len(count) <= self.token.max():
+            raise RuntimeError("a block's answers are not those to its questions")
+        self.entry_head, self.low = np.zeros(len(count), np.int64), np.zeros(len(count))
+        sums = np.array([[np.concatenate([a[2 + i] for a in heard]).sum()] for i in range(K + 2)], float)
+        return count, np.concatenate([a[1] for a in heard]).astype(np.uint64), sums
+
+    def _next(self, answers: list[tuple[int, bytes]]):
         count = np.zeros(len(self.order), np.int64)
         number = np.zeros(len(self.order), np.uint64)
         sums = np.zeros((K + 2, len(self.heads)))
@@ -214,10 +237,17 @@ class Block:
         for b, raw in answers:
             g, e = self.cuts[b]
             counts, numbers, *stats = _unpack(raw)
-            count[self.order[e]], number[self.order[e]] = counts, numbers
+            count[self.order[e]] = counts
+            if len(numbers):
+                number[self.order[e]] = numbers
             head = self.group_head[self.group_order[g]]
             for i, s in enumerate(stats):
                 sums[i] += np.bincount(head, s, len(self.heads))
+        return count, number, sums
+
+    def hear(self, answers: list[tuple[int, bytes]], level: Level) -> None:
+        """Takes the buckets' answers; p is then the probability of each token at this level."""
+        count, number, sums = self._next(answers) if self.level else self._first(answers)
         occurrences, left, scale = weights(sums, level.discount)
         entry_head = self.entry_head
         seen = count > 0
@@ -228,16 +258,16 @@ class Block:
         gram[self.valid], many[self.valid] = number[self.inverse], count[self.inverse]
         self.gram, self.count = gram, many
         if self.level == 1:
-            self.word_id = np.zeros(len(self.words), np.uint64)
-            self.word_id[self.token] = gram
-            self.known = many
+            self.word_id, self.known = number, many
 
     def scores(self, log: np.ndarray) -> np.ndarray:
         return np.add.reduceat(log, self.starts)
 
 
-def answer(bucket: int, buckets: int, blocks: list[str], messages: list[bytes]):
-    """Of what all blocks sent to a bucket: ((block, answer) for each, its table, its sums)."""
+def answer(bucket: int, buckets: int, blocks: list[str], messages: list[bytes], last: bool):
+    """Of what all blocks sent to a bucket: ((block, answer) for each, its table, its sums).
+
+    The last level's n-grams need no numbers."""
     asked = [_unpack(m) for m in messages]
     heads = np.concatenate([np.repeat(a[0], a[1].astype(np.int64)) for a in asked]).astype(np.uint64)
     words = np.concatenate([a[2] for a in asked]).astype(np.uint64)
@@ -260,7 +290,8 @@ def answer(bucket: int, buckets: int, blocks: list[str], messages: list[bytes]):
         asks = np.searchsorted(head, a[0])
         there = np.zeros(len(a[0]), bool) if not len(head) else head[np.minimum(asks, len(head) - 1)] == a[0]
         sums = stats[:, np.minimum(asks, max(0, len(head) - 1))] * there if len(head) else np.zeros((K + 2, len(a[0])))
-        out.append((name, _pack(total[own], bucket + buckets * own.astype(np.uint64), *sums[: K + 1].astype(np.int64), sums[K + 1])))
+        numbers = np.zeros(0, np.uint64) if last else bucket + buckets * own.astype(np.uint64)
+        out.append((name, _pack(total[own], numbers, *sums[: K + 1].astype(np.int64), sums[K + 1])))
     seen = total > 0
     table = _pack(head[of[seen]], word[(pair % max(1, len(word)))[seen]], total[seen])
     summed = [int(total.sum()), int(seen.sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]
@@ -270,7 +301,7 @@ def answer(bucket: int, buckets: int, blocks: list[str], messages: list[bytes]):
 _ANSWERS = "kind string, level int, bucket int, block string, message binary, sums array<long>"
 
 
-def _answered(asked: DataFrame, level: int, buckets: int) -> tuple[DataFrame, Level]:
+def _answered(asked: DataFrame, level: int, buckets: int, last: bool) -> tuple[DataFrame, Level]:
     """The level's answers, and what was counted; tables and answers are parts of one table."""
 
     def run(key, pdf):
@@ -278,7 +309,7 @@ def _answered(asked: DataFrame, level: int, buckets: int) -> tuple[DataFrame, Le
 
         pdf = pdf.sort_values("block")
         bucket = int(pdf["bucket"].iloc[0])
-        out, table, summed = answer(bucket, buckets, pdf["block"].tolist(), pdf["message"].tolist())
+        out, table, summed = answer(bucket, buckets, pdf["block"].tolist(), pdf["message"].tolist(), last)
         rows = [("answer", level, bucket, name, m, None) for name, m in out] + [("table", level, bucket, None, table, summed)]
         return pd.DataFrame(rows, columns=["kind", "level", "bucket", "block", "message", "sums"])
 
@@ -311,9 +342,10 @@ def scored(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[DataFrame]]
     tables = []
 
     def state(block, heard) -> Block:
-        own = Block(block["sizes"], block["held"], block["words"], block["tokens"], buckets)
+        own = Block(block["sizes"], block["held"], block.get("words"), block["tokens"], buckets)
         for k, level in enumerate(levels):
-            own.ask(levels[0].tokens if k else 0)
+            if k:
+                own.ask(levels[0].tokens)
             own.hear([(b, m) for lv, b, m in heard if lv == k + 1], level)
         return own
 
@@ -348,8 +380,8 @@ def scored(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[DataFrame]]
         if k == 1:
             asked = blocks.mapInArrow(first, "bucket int, block string, message binary")
         else:
-            asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(following, "bucket int, block string, message binary")
-        done, level = _answered(asked, k, buckets)
+            asked = blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(following, "bucket int, block string, message binary")
+        done, level = _answered(asked, k, buckets, 1 < k == order)
         del asked
         _released(spark)
         levels = [*levels, level]
@@ -357,7 +389,7 @@ def scored(docs: DataFrame, order: int = 2) -> tuple[DataFrame, list[DataFrame]]
         answers = own if answers is None else answers.unionByName(own)
         tables.append(done.where("kind = 'table'").select("level", "bucket", "message"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(last, schema), tables
+    return blocks.drop("words").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(last, schema), tables
 
 
 def report(docs: DataFrame, order: int = 2) -> DataFrame:
