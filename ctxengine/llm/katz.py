@@ -159,11 +159,11 @@ class Block:
 
     def __init__(self, sizes, held, words: bytes | None, tokens: bytes, buckets: int):
         self.buckets = buckets
-        self.token = _unpack(tokens)[0].astype(np.int64)
+        self.token = _unpack(tokens)[0].astype(np.int32)
         self.words = None if words is None else _unpack(words)[0]
         sizes = np.asarray(sizes, np.int64)
         self.starts = np.cumsum(sizes) - sizes
-        self.place = np.arange(len(self.token)) - np.repeat(self.starts, sizes)
+        self.place = (np.arange(len(self.token)) - np.repeat(self.starts, sizes)).astype(np.int32)
         self.train = np.repeat(~np.asarray(held, bool), sizes)
         self.p = np.zeros(len(self.token))
         self.level = 0
@@ -176,15 +176,19 @@ class Block:
             history, many = np.zeros(len(self.token), np.uint64), None
             word = self.words
         else:
-            self.valid = np.flatnonzero(self.place >= k - 2)
+            self.valid = np.flatnonzero(self.place >= k - 2).astype(np.int32)
             before = self.valid - 1
             first = self.place[self.valid] == 0
             history = np.where(first, np.uint64(START), self.gram[before]).astype(np.uint64)
-            many = np.where(first, total, self.count[before])
+            many = np.where(first, total, self.count[before].astype(np.int64))
             word = self.word_id
         self.heads, at, head = np.unique(history, return_index=True, return_inverse=True)
-        own = self.token[self.valid]
-        pair, first_at, self.inverse = np.unique(head * len(word) + own, return_index=True, return_inverse=True)
+        del history
+        head *= len(word)
+        head += self.token[self.valid]
+        pair, first_at, inverse = np.unique(head, return_index=True, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        del head, inverse
         head, own = pair // len(word), pair % len(word)
         self.entry_head = head
         counted = np.bincount(self.inverse, self.train[self.valid], len(pair)).astype(np.int64)
@@ -254,9 +258,10 @@ class Block:
         own = level.discount[np.minimum(count, K + 1)] * count * scale[entry_head] / np.maximum(1, occurrences[entry_head])
         p = np.where(seen, own, left[entry_head] * (self.low if self.level > 1 else 1.0))
         self.p[self.valid] = p[self.inverse]
-        gram, many = np.zeros(len(self.token), np.uint64), np.zeros(len(self.token), np.int64)
+        gram, many = np.zeros(len(self.token), np.uint64), np.zeros(len(self.token), np.int32)
         gram[self.valid], many[self.valid] = number[self.inverse], count[self.inverse]
         self.gram, self.count = gram, many
+        del p, own
         if self.level == 1:
             self.word_id, self.known = number, many
 
