@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxengine.functions.text import content_hash
-from ctxengine.operators.ranking import bm25, top
+from ctxengine.operators.ranking import K1, B, terms, top
 
 
 def filter_catalog(tools: DataFrame, allow: list[str] | None = None, deny: list[str] | None = None, reserved: list[str] = ()) -> DataFrame:
@@ -23,12 +23,24 @@ def filter_catalog(tools: DataFrame, allow: list[str] | None = None, deny: list[
 
 
 def shortlist(intents: DataFrame, tools: DataFrame, k: int = 8) -> DataFrame:
-    """intent_id, pos, name, score, rank: for each intent its catalog's k best tools by BM25.
-
-    intents: intent_id, catalog_id, intent. tools: catalog_id, pos, name, description."""
-    docs = intents.select("intent_id", "catalog_id").join(tools, "catalog_id").select("intent_id", "pos", "name", F.concat_ws(" ", "name", F.substring("description", 1, 200)).alias("content"))
-    scores = bm25(docs, intents.select("intent_id", F.col("intent").alias("task_query")), ["intent_id", "pos", "name"], ["intent_id"])
-    return top(scores, ["intent_id"], [F.desc(F.round("score", 6)), F.col("pos")], max(1, k))
+    """intent_id, pos, score, rank: for each intent its catalog's k best tools by BM25.
+
+    intents: intent_id, catalog_id, intent. tools: catalog_id, pos, name, description. Intents
+    meet tools by their terms; where fewer than k tools share one, the first tools of the
+    catalog follow with score 0."""
+    k = max(1, k)
+    docs = tools.select("catalog_id", "pos", terms(F.concat_ws(" ", "name", F.substring("description", 1, 200))).alias("t")).withColumn("dl", F.size("t"))
+    stats = docs.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("av"))
+    tf = docs.select("catalog_id", "pos", "dl", F.explode("t").alias("term")).groupBy("catalog_id", "pos", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("catalog_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    asked = intents.select("intent_id", "catalog_id", F.explode(terms(F.col("intent"))).alias("term")).groupBy("intent_id", "catalog_id", "term").agg(F.count(F.lit(1)).alias("q"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = F.col("q") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("av")))
+    scores = asked.join(df, ["catalog_id", "term"]).join(stats, "catalog_id").join(tf, ["catalog_id", "term"]).groupBy("intent_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
+    first = top(tools.select("catalog_id", "pos"), ["catalog_id"], [F.col("pos")], k)
+    rest = intents.select("intent_id", "catalog_id").join(first, "catalog_id").select("intent_id", "pos", F.lit(0.0).alias("score"))
+    both = scores.unionByName(rest).groupBy("intent_id", "pos").agg(F.max("score").alias("score"))
+    return top(both, ["intent_id"], [F.desc("score"), F.col("pos")], k)
 
 
 def allow_execute(by_model: Column, confidence: Column, risk: Column) -> Column:

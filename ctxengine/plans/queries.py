@@ -188,9 +188,9 @@ def q24(spark, d):
 
 
 def q25(spark, d):
-    tools = _r(spark, d, "part").where("p_partkey <= 200").select(F.lit(1).alias("catalog_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
-    intents = _r(spark, d, "part").where("p_partkey between 201 and 220").select(F.col("p_partkey").alias("intent_id"), F.lit(1).alias("catalog_id"), F.concat_ws(" ", "p_name", "p_type").alias("intent"))
-    return catalog.shortlist(intents, tools).select("intent_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    tools = _r(spark, d, "part").select(F.lit(1).alias("catalog_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    intents = _r(spark, d, "part").select(F.col("p_type").alias("intent_id")).distinct().select("intent_id", F.lit(1).alias("catalog_id"), F.col("intent_id").alias("intent"))
+    return catalog.shortlist(intents, tools).select("intent_id", "pos", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def q26(spark, d):
@@ -304,9 +304,12 @@ ORACLES = {
     "q22_log_templates": f"with k as (select session, pos, trim(line) as line, {SQL_KEY} as template, count(*) over (partition by session) as s from {SQL_LOG}) select session, template, count(*) as n, min(pos) as first_pos, '[×' || count(*) || '] ' || case when length(min_by(line, pos)) > 100 then substr(min_by(line, pos), 1, 97) || '...' else min_by(line, pos) end as shown from k where s >= 6 group by 1, 2 having count(*) >= 3",
     "q23_log_severity": f"select session, case when contains(line, 'ERROR') or contains(line, 'error') then 'error' else 'info' end as severity, count(*) as n from {SQL_LOG} group by 1, 2",
     "q24_redact": f"select doc_id, len(regexp_extract_all(r, '\\[REDACTED\\]'))::bigint as n, sha256(r) as digest from (select doc_id, {SQL_REDACT} as r from documents)",
+    "q25_tool_shortlist": f"with t as (select p_partkey as pos, {_sub(SQL_TERMS, "(p_name || ' ' || p_type)")} as ts from part), tf as (select pos, dl, term, count(*) as tf from (select pos, len(ts) as dl, unnest(ts) as term from t) group by all), st as (select count(*) as n, greatest(avg(len(ts)), 1) as av from t), df as (select term, count(*) as df from tf group by 1), q as (select intent_id, term, count(*) as qn from (select p_type as intent_id, unnest({_sub(SQL_TERMS, 'p_type')}) as term from (select distinct p_type from part)) group by 1, 2), s as (select intent_id, pos, round(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 6) as score from q join df using (term) join tf using (term) cross join st group by 1, 2 union all select p_type, pos, 0.0 from (select distinct p_type from part), (select pos from t order by pos limit 8)), m as (select intent_id, pos, max(score)::double as score from s group by 1, 2) select * from (select *, row_number() over (partition by intent_id order by score desc, pos) as rank from m) where rank <= 8",
     "q26_risk": f"select case when regexp_matches(lower(p_name), '{'|'.join(relevance.DESTRUCTIVE)}') then 'destructive' when regexp_matches(lower(p_name), '{'|'.join(relevance.WRITE)}') then 'write' else 'read' end as risk, count(*) as n from part group by 1",
     "q27_recovery": "select alive, count(*) as n, min(handle) as first_handle from (select substr(sha256(text), 1, 12) as handle, 1700003600 - max(1700000000 + doc_id * 4) <= 1800 as alive from documents group by 1) group by 1",
     "q28_feedback": "with r as (select 'u' || user_id as source, event_id as seq, case when event_type = 'error' then 0.0 else (event_id % 10) / 10 end::double as ratio from events), k as (select *, row_number() over (partition by source, ratio > 0 order by seq desc) as n from r), s as (select source, count(*) as attempts, sum((ratio > 0)::int) / count(*) as rate, coalesce(avg(case when ratio > 0 and n <= 50 then ratio end), 0) as av from k group by 1) select source, attempts, round(rate, 6) as success_rate, round(av, 6) as avg_ratio, round(case when attempts < 3 then 0.85 when rate > 0.7 and av > 0.3 then 1.0 when rate < 0.2 then 0.65 else 0.85 end, 6)::double as suggested from s",
+    "q29_quality": f"with c as (select doc_id, text, regexp_extract(text, '^[^\\n]{{1,40}}') as a, substr(text, 1, 20) as b from documents) select doc_id, round(((contains(lower(text), lower(a)))::int + contains(lower(text), 'the')::int + contains(text, b)::int + (contains(text, 'no such text') or contains(regexp_replace(text, '{SPACE}', '', 'g'), 'nosuchtext'))::int) / 4, 6)::double as score from c",
+    "q15_grep_coverage": f"with g as (select item_id, item_id as d, {_sub(STRIP, 'text')} as x from benchmark where text <> '' union all select doc_id + 1000000, doc_id, {_sub(STRIP, 'regexp_extract(text, $$^[^\\n]*$$)')} from documents) select item_id, count(*) as matches, bool_and(coalesce(contains(text, x), false)) as covered from g left join documents on doc_id = d group by 1",
     "q30_floors": "select case grouping(o_orderpriority, o_orderstatus) when 3 then 'total' when 1 then 'category' else 'fixture' end as level, case grouping(o_orderpriority, o_orderstatus) when 3 then '' when 1 then o_orderpriority else o_orderstatus end as key, count(*) as n, round((sum(o_totalprice) - sum(floor(o_totalprice / 3))) / greatest(sum(o_totalprice), 1), 6)::double as ratio from orders group by grouping sets ((), (o_orderpriority), (o_orderpriority, o_orderstatus))",
     "q31_net": f"select role as source, sum(a)::bigint as original, sum(b)::bigint as compressed, sum(o)::bigint as overhead, round((sum(a) - sum(b) - sum(o)) / sum(a), 6)::double as net from (select role, {_sub(SQL_TOK, 'text')} as a, {_sub(SQL_TOK, 'substr(text, 1, 100)')} as b, greatest(1, floor(length('O: msg_' || turn) / 3.3)::bigint) as o from {SQL_ITEMS}) group by 1",
 }
