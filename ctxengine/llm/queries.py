@@ -21,4 +21,67 @@ QUERIES = {
     "op6_language_id": lambda spark, d: langid.report(_read(spark, d, "documents"), _read(spark, d, "pages")),
     "op7_secret_scan": lambda spark, d: secrets.report(_read(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
+_DOCS = "(select doc_id, coalesce(text, '') as text, source from documents)"
+_LEAVES = f"list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{merkle.PIECE}'), lambda l: sha256(l) || '.' || length(l)))"
+_TREE = f"list_transform(string_split({{t}}, chr(10) || chr(10)), lambda s: {_LEAVES})"
+_PRINT = (
+    "sha256(array_to_string(list_transform({n}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, chr(10)))), chr(10)))), chr(10))) || '|' || "
+    f"array_to_string(list_transform({{n}}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda l: substr(l, 1, {merkle.DIGITS}) || substr(l, 65)), ',')), ';')), '/')"
+)
+_SET = "list_distinct(list_filter(regexp_split_to_array(substr({f}, 66), '[/;,]'), lambda x: x <> ''))"
+_WEIGHT = f"coalesce(list_sum(list_transform({{l}}, lambda x: substr(x, {merkle.DIGITS + 2})::bigint)), 0)::double"
+
+
+def _put(template: str, **values: str) -> str:
+    for k, v in values.items():
+        template = template.replace("{" + k + "}", v)
+    return template
+
+
+def _likeness(a: str, b: str) -> str:
+    both = f"({_put(_WEIGHT, l=a)} + {_put(_WEIGHT, l=b)})"
+    return f"case when {both} = 0 then 1.0 else 2 * {_put(_WEIGHT, l=f'list_intersect({a}, {b})')} / {both} end::double"
+
+
+_OP4 = f"""with n as (select doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as nx from {_DOCS} window w as (order by doc_id desc)),
+ e as (select doc_id, text, nx, substr(text, 1, length(text) - length(text) // 2) || substr(nx, 1, length(text) // 2) as ed from n),
+ t as (select doc_id, length(text) as n_chars, sha256(ed) as edited_sha256, {_put(_TREE, t='text')} as a, {_put(_TREE, t='ed')} as b, {_put(_TREE, t='nx')} as c from e),
+ f as (select doc_id, n_chars, edited_sha256, {_put(_PRINT, n='a')} as fingerprint, {_put(_PRINT, n='b')} as edited_fingerprint, {_put(_PRINT, n='c')} as nf from t),
+ l as (select *, {_put(_SET, f='fingerprint')} as a, {_put(_SET, f='edited_fingerprint')} as b, {_put(_SET, f='nf')} as c from f)
+ select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness('a', 'b')} as near_edited, {_likeness('a', 'c')} as near_next from l"""
+
+_OP5 = r"""with d as (select doc_id, coalesce('s' || source, 't') as key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as digest from documents),
+ s as (select key, sum(size)::bigint as source_size from d group by 1),
+ w as (select *, [5.0, 2.0, 1.0][(row_number() over (order by key) - 1) % 3 + 1]::double as weight, source_size * 2.0::double as most, sum(source_size) over () * 1.5::double as budget from s),
+ v as (select *, (budget - coalesce(sum(most) over (order by most / weight, key rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by most / weight, key rows between current row and unbounded following) as level from w),
+ x as (select *, (select arg_min(v2.level, row(v2.most / v2.weight, v2.key)) from v v2 where v2.level < v2.most / v2.weight) as water from v),
+ g as (select key, source_size, coalesce(least(most, water * weight), most)::double as target from x),
+ q as (select doc_id, size, source_size, target, digest, coalesce(sum(size) over (partition by key order by digest, size rows between unbounded preceding and 1 preceding), 0) as sent from d join g using (key))
+ select doc_id, size, source_size, target, (greatest(0, least(size, round(target)::bigint - sent)) + greatest(0, least(size, round(target)::bigint - sent - source_size)))::bigint as taken,
+ case when size > 0 and target > 0 then (sent + size)::double / target end as finish from q"""
+
+
+def _spans(rule: secrets.Rule, i: int) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    parts = f"string_split_regex(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), '[\x01\x02]')"
+    ends = "list_sum(list_transform(p[:k], lambda x: length(x)))"
+    keep = f" and length(regexp_extract(p[k], '{pattern}', {rule.group})) >= {rule.least}" if rule.least else ""
+    return f"select doc_id, {i} as i, '{rule.kind}' as kind, (e - l)::bigint as s, e::bigint as e from (select doc_id, {ends} as e, length(p[k]) as l, p, k from (select doc_id, p, unnest(range(2, len(p) + 1, 2)) as k from (select doc_id, {parts} as p from c))) where true{keep}"
+
+
+_RULES = secrets.BASE + secrets.ADDED
+_OP7 = (
+    "with c as (select doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as t from documents), f as (" + " union all ".join(_spans(r, i) for i, r in enumerate(_RULES)) + "), "
+    "g as (select doc_id, " + ", ".join(f"sum((kind = '{r.kind}')::int)::bigint as n_{r.kind}" for r in secrets.BASE) + ", string_agg(kind || ':' || s || ':' || e, ',' order by s, i) filter (i < 3) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, i, e) as spans from f group by 1) "
+    "select d.doc_id, " + ", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE) + ", sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents d left join g using (doc_id)"
+)
+
+_OP8 = """with recursive u as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ p as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.95),
+ r as (select vec_id as a, vec_id as b from embeddings union select r.a, p.b from r join p on r.b = p.a)
+ select e.vec_id, (select count(*) from p where p.a = e.vec_id) as n_links, m.c as component_id, m.c = e.vec_id as kept from embeddings e join (select a, min(b) as c from r group by 1) m on m.a = e.vec_id"""
+
+#: SQL where it can express the whole result at the size of the driver's comparison. The others
+#: have a text model, a tokenizer, a hash function or an alignment that SQL lacks; their tests
+#: hold them against brute force.
+ORACLES: dict[str, str] = {"op4_merkle_fingerprint": _OP4, "op5_mix_sources": _OP5, "op7_secret_scan": _OP7, "op8_cover_tree_dedup": _OP8}
