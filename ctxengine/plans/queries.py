@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxengine.functions import detect, redact, relevance, tokens
 from ctxengine.functions.text import content_hash, count_of, squeeze, strip
-from ctxengine.operators import catalog, dedup, ranking, rewrite, session, structured
+from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, session, structured
 from ctxengine.plans.optimize import optimize_context
 from ctxengine.sources import items as src
 
@@ -228,6 +228,39 @@ def q31(spark, d):
     return items.groupBy("source").agg(F.sum(own).alias("original"), F.sum(left).alias("compressed"), F.sum(over).alias("overhead")).select("source", "original", "compressed", "overhead", F.round((F.col("original") - F.col("compressed") - F.col("overhead")) / F.col("original"), 6).alias("net"))
 
 
+def _payloads(spark, d):
+    """Every user's events as a JSON list, a log and a diff-like text."""
+    e = _r(spark, d, "events")
+    each = F.array_sort(F.collect_list(F.struct("event_id", "event_type", F.round("value", 3).alias("value"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))))
+    rows = e.groupBy("user_id").agg(each.alias("z"))
+    level = lambda x: F.when(x["event_type"] == "error", "ERROR").otherwise("INFO")
+    log = F.array_join(F.transform("z", lambda x: F.concat_ws(" ", x["ts"], level(x), x["event_type"], x["value"].cast("string"))), "\n")
+    hunks = F.array_join(F.transform("z", lambda x: F.concat(F.lit("@@ -1,9 +1,9 @@\n a\n b\n c\n d\n+"), x["event_type"], F.lit("\n e\n f\n g\n h"))), "\n")
+    texts = F.array(F.struct(F.lit("json").alias("kind"), F.to_json("z").alias("text")), F.struct(F.lit("log").alias("kind"), log.alias("text")), F.struct(F.lit("diff").alias("kind"), hunks.alias("text")))
+    return rows.select("user_id", F.inline(texts))
+
+
+def q40(spark, d):
+    rows = _payloads(spark, d).select("user_id", "kind", F.length("text").cast("long").alias("chars"), compress.compressed(F.col("text"), F.col("kind")).alias("c"))
+    return rows.select("user_id", "kind", "chars", F.length("c.content").cast("long").alias("left"), "c.strategy")
+
+
+def q41(spark, d):
+    e = _r(spark, d, "events")
+    by = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.concat(by[x["event_type"]], F.lit("\nnote "), x["event_id"].cast("string"))), "\n")
+    rows = e.groupBy("user_id", "event_type").agg(text.alias("text"))
+    rows = rows.select("user_id", "event_type", F.length("text").cast("long").alias("chars"), cli.compressed(F.col("text")).alias("c"))
+    return rows.select("user_id", "event_type", "chars", F.length("c.content").cast("long").alias("left"), "c.strategy", "c.compressed")
+
+
+def q42(spark, d):
+    p = _r(spark, d, "part")
+    schema = F.struct(F.col("p_name").alias("name"), F.concat(F.col("p_type"), F.lit(". "), F.repeat(F.lit("More about it. "), 12)).alias("description"), F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit("string").alias("type"), F.lit("what to find").alias("description")).alias("query"), F.struct(F.lit("integer").alias("type"), F.col("p_type").alias("description")).alias("size")).alias("properties")).alias("inputSchema"))
+    tools = p.select(F.col("p_type").alias("catalog_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.lit("").alias("description"), F.to_json(schema).alias("schema_json"))
+    return compress.lazy_catalog(tools).select("catalog_id", "tools", "full_chars", "catalog_chars")
+
+
 def q50(spark, d):
     return rewrite.rewritten(src.from_documents(_r(spark, d, "documents")))
 
@@ -240,7 +273,7 @@ QUERIES = {
     "q01_token_estimate": q01, "q02_content_type": q02, "q03_cli_detect": q03, "q04_segments": q04, "q05_volatile": q05, "q06_tier": q06, "q07_metrics": q07, "q08_bm25": q08, "q09_bm25_topk": q09,
     "q10_recency": q10, "q11_exact_dups": q11, "q12_containment": q12, "q13_repeat_lines": q13, "q14_stale_reads": q14, "q15_grep_coverage": q15, "q16_obsolete": q16, "q17_knapsack": q17, "q18_smart_rows": q18,
     "q19_constants": q19, "q20_severity_samples": q20, "q21_toon": q21, "q22_log_templates": q22, "q23_log_severity": q23, "q24_redact": q24, "q25_tool_shortlist": q25, "q26_risk": q26, "q27_recovery": q27,
-    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q50_rewrite_reads": q50, "q53_optimize_context": q53,
+    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q50_rewrite_reads": q50, "q53_optimize_context": q53,
 }
 
 SQL_JSON = "(regexp_matches(s, '(?s)^(\\{.*\\}|\\[.*\\])$') and json_valid(s))"
