@@ -4,8 +4,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

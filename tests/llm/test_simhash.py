@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ctxengine.llm import simhash
-from tests.llm.common import SCHEMA, docs, lower, odd, rows, words
+from tests.llm.common import SCHEMA, docs, lower, odd, words
 
 
 def plain_fingerprint(text, k=3):
