@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxengine.functions import detect, redact, relevance, tokens
-from ctxengine.functions.text import content_hash, count_of, squeeze, strip
+from ctxengine.functions.text import count_of
 from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, session, structured
 from ctxengine.plans.optimize import optimize_context
 from ctxengine.sources import items as src
