@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ctxengine.functions.text import strip
+from ctxengine.functions.text import let, strip
 
 #: Words that say nothing in a query, and symbols that say nothing.
 QUERY_STOPWORDS = "the and for with from that this when fix bug use not are was has have been into than then".split()
@@ -57,12 +57,13 @@ def query_terms(query: Column) -> tuple[Column, Column]:
 
 
 def path_matches(path: Column, query: Column, terms: Column, symbols: Column) -> Column:
+    def named(x: Column) -> Column:
+        parts = F.filter(F.split(x["low"], "/"), lambda p: F.length(p) > 2)
+        said = F.array_union(F.array_intersect(terms, parts), symbols)
+        return x["q"].contains(x["name"]) | x["q"].contains(x["low"]) | F.array_contains(said, x["stem"]) | F.array_contains(said, x["name"])
+
     low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    name, stem = _name(low), _stem(low)
-    parts = F.filter(F.split(low, "/"), lambda x: F.length(x) > 2)
-    both = F.array_intersect(terms, parts)
-    q = F.lower(query)
-    return q.contains(name) | q.contains(low) | F.array_contains(both, stem) | F.array_contains(both, name) | F.array_contains(symbols, stem) | F.array_contains(symbols, name)
+    return let(let(low, lambda p: F.struct(p.alias("low"), _name(p).alias("name"), _stem(p).alias("stem"), F.lower(query).alias("q"))), named)
 
 
 def overlap(content: Column, terms: Column) -> Column:
@@ -75,9 +76,9 @@ def is_file_read(source: Column, kind: Column) -> Column:
     return (path != "") & ~path.isin(*NOT_FILES) & kind.isin("code", "text") & path.rlike(FILE_PATH)
 
 
-def path_score(source: Column, kind: Column, content: Column, query: Column, terms: Column, symbols: Column) -> Column:
-    """Null of what is no file read; 1 of a path in the query; else by overlap."""
-    o = overlap(content, terms)
+def path_score(source: Column, kind: Column, content: Column, query: Column, terms: Column, symbols: Column, shared: Column | None = None) -> Column:
+    """Null of what is no file read; 1 of a path in the query; else by overlap (shared, if known)."""
+    o = overlap(content, terms) if shared is None else shared
     score = F.when(path_matches(strip(source), query, terms, symbols), 1.0).when(o > 0.15, 0.5 + o).otherwise(0.0)
     return F.when(is_file_read(source, kind) & (F.coalesce(query, F.lit("")) != ""), score)
 
@@ -90,21 +91,26 @@ def tier(content, kind, tokens, source, query, terms, symbols, is_error=None, ro
     recency = F.lit(0.0) if recency is None else F.coalesce(recency, F.lit(0.0))
     is_duplicate = no if is_duplicate is None else F.coalesce(is_duplicate, no)
     asked = F.coalesce(query, F.lit("")) != ""
-    score, o = path_score(source, kind, content, query, terms, symbols), overlap(content, terms)
-    return (
-        F.when(content.rlike(CRITICAL) | is_error | role.isin("system", "instruction", "api_contract"), "critical")
-        .when(asked & (score >= 1.0), "high")
-        .when(asked & (score == 0.0), "low")
-        .when(asked & score.isNotNull() & (o < 0.05), "low")
-        .when(asked & (o > 0.5), "high")
-        .when(asked & (o > 0.2), "medium")
-        .when(asked & (o < 0.05) & kind.isin("code", "text") & ~role.isin("system", "instruction", "user"), "low")
-        .when(recency > 0.8, "high")
-        .when(content.rlike(OBSOLETE) & ~kind.isin("tool_output", "terminal", "log"), "discardable")
-        .when(kind.isin("log", "terminal") & (tokens > 3000), "low")
-        .when(is_duplicate, "redundant")
-        .otherwise("medium")
-    )
+
+    def first(x: Column) -> Column:
+        score, o = x["score"], x["o"]
+        return (
+            F.when(content.rlike(CRITICAL) | is_error | role.isin("system", "instruction", "api_contract"), "critical")
+            .when(asked & (score >= 1.0), "high")
+            .when(asked & (score == 0.0), "low")
+            .when(asked & score.isNotNull() & (o < 0.05), "low")
+            .when(asked & (o > 0.5), "high")
+            .when(asked & (o > 0.2), "medium")
+            .when(asked & (o < 0.05) & kind.isin("code", "text") & ~role.isin("system", "instruction", "user"), "low")
+            .when(recency > 0.8, "high")
+            .when(content.rlike(OBSOLETE) & ~kind.isin("tool_output", "terminal", "log"), "discardable")
+            .when(kind.isin("log", "terminal") & (tokens > 3000), "low")
+            .when(is_duplicate, "redundant")
+            .otherwise("medium")
+        )
+
+    scored = let(overlap(content, terms), lambda o: F.struct(o.alias("o"), path_score(source, kind, content, query, terms, symbols, o).alias("score")))
+    return let(scored, first)
 
 
 def tier_boost(t: Column) -> Column:

@@ -40,3 +40,8 @@ def has(c: Column, pattern: str) -> Column:
 
 def first_of(cases: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in cases])
+
+
+def let(value: Column, of) -> Column:
+    """of(value), with value computed once however often the function uses it."""
+    return F.transform(F.array(value), of)[0]

@@ -105,13 +105,19 @@ def compressed(text: Column, tool: Column | None = None, a: float = 0.85) -> Col
     """struct<content, strategy, compressed>: the sections of the text's tool, if they are shorter
     by 5 % or more; else the text."""
     tool = cli_tool(text) if tool is None else tool
-    rows = lines(text)
-    out = F.lit(None).cast("string")
-    for name, sections in tables(a).items():
-        out = F.when(tool == name, F.array_join(F.concat(*[_section(rows, s) for s in sections]), "\n")).otherwise(out)
-    good = (F.length(out) > 0) & (F.length(out) < F.length(text) * 0.95)
-    good = F.coalesce(good, F.lit(False))
-    return F.struct(F.when(good, out).otherwise(text).alias("content"), F.concat(F.lit("rtk:"), F.coalesce(tool, F.lit("none"))).alias("strategy"), good.alias("compressed"))
+
+    def sections(t: Column) -> Column:
+        rows, out = lines(text), F.lit(None).cast("string")
+        for name, parts in tables(a).items():
+            out = F.when(t == name, F.array_join(F.concat(*[_section(rows, s) for s in parts]), "\n")).otherwise(out)
+        return F.struct(t.alias("tool"), out.alias("out"))
+
+    def checked(x: Column) -> Column:
+        good = F.coalesce((F.length(x["out"]) > 0) & (F.length(x["out"]) < F.length(text) * 0.95), F.lit(False))
+        return F.struct(F.when(good, x["out"]).otherwise(text).alias("content"), F.concat(F.lit("rtk:"), F.coalesce(x["tool"], F.lit("none"))).alias("strategy"), good.alias("compressed"))
+
+    # Arrays of one element hold what is used many times, so that each is computed once.
+    return F.transform(F.transform(F.array(tool), sections), checked)[0]
 
 
 def listing(text: Column, a: float = 0.85) -> Column:

@@ -231,16 +231,16 @@ def best(text: str, kind: str, a: float, query: str, registry: dict | None = Non
     return (out, name) if size <= len(text) * (1 - LEAST_SAVED) else (text, "none")
 
 
-def compressed(text: Column, kind: Column, a: float = 0.85, query: Column | None = None) -> Column:
+def compressed(text: Column, kind: Column, a: float | Column = 0.85, query: Column | None = None) -> Column:
     """struct<content, strategy>; types without a compressor and null texts stay as they are."""
     registry = dict(COMPRESSORS)  # as it is now, wherever the function runs
 
     @F.pandas_udf("content string, strategy string")
-    def run(texts: pd.Series, kinds: pd.Series, queries: pd.Series) -> pd.DataFrame:
-        out = [(t, "none") if t is None else best(t, k, a, q or "", registry) for t, k, q in zip(texts, kinds, queries, strict=True)]
+    def run(texts: pd.Series, kinds: pd.Series, queries: pd.Series, hard: pd.Series) -> pd.DataFrame:
+        out = [(t, "none") if t is None else best(t, k, x, q or "", registry) for t, k, q, x in zip(texts, kinds, queries, hard, strict=True)]
         return pd.DataFrame(out, columns=["content", "strategy"])
 
-    return run(text, kind, F.lit("") if query is None else F.coalesce(query, F.lit("")))
+    return run(text, kind, F.lit("") if query is None else F.coalesce(query, F.lit("")), a if isinstance(a, Column) else F.lit(float(a)))
 
 
 #: Keys of tool schemas that say nothing to a model; names that explain themselves.

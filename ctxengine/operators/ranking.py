@@ -84,18 +84,39 @@ def best_subset(tokens: list[int], values: list[float], pinned: list[bool], excl
     return sorted(keep)
 
 
-def select(items: DataFrame, budget_share: float | None = 0.5, budget: int | None = None) -> DataFrame:
+def hybrid_budget(budget: int, items: Column, total: Column) -> Column:
+    """What a session of so many items and tokens is cut to; null where all of it stays.
+
+    Fixed values: sessions under 0.8 of the budget stay (0.6 from 15 items on), unless they have 8
+    items and 0.01 of the budget or more, which are cut to 0.72; others to 0.95 of the budget."""
+    threshold = F.when(items >= 15, F.lit(int(budget * 0.6))).otherwise(int(budget * 0.8))
+    small = (items >= 8) & (total >= int(budget * 0.01))
+    return F.when(total > threshold, F.lit(int(budget * 0.95))).when(small, F.floor(total * 0.72)).cast("long")
+
+
+def select(items: DataFrame, budget_share: float | None = 0.5, budget: int | None = None, hybrid: bool = False) -> DataFrame:
     """items (session_id, pos, token_count, tier, score) with `kept`: what a session's budget holds.
 
-    One group is one session; sessions are bounded by what a context window holds."""
+    The budget is stated, a share of the session, or none. One group is one session; sessions are
+    bounded by what a context window holds."""
+    if budget is None and budget_share is None:
+        return items.withColumn("kept", F.lit(True))
+    own = Window.partitionBy("session_id")
+    total = F.sum(F.col("token_count").cast("long")).over(own)
+    if budget is None:
+        most = F.floor(total * budget_share).cast("long")
+    else:
+        most = hybrid_budget(budget, F.count(F.lit(1)).over(own), total) if hybrid else F.lit(budget).cast("long")
+    rows = items.select("session_id", "pos", "token_count", "tier", "score", F.coalesce(most, F.lit(-1)).alias("__most"))
 
     def run(pdf):
         pdf = pdf.sort_values("pos")
-        most = budget if budget is not None else int(pdf["token_count"].sum() * budget_share)
-        at = best_subset(pdf["token_count"].tolist(), pdf["score"].tolist(), (pdf["tier"] == "critical").tolist(), pdf["tier"].isin(["redundant", "discardable"]).tolist(), most)
-        return pdf.assign(kept=[i in set(at) for i in range(len(pdf))])[["session_id", "pos", "kept"]]
+        most = int(pdf["__most"].iloc[0])
+        at = set(range(len(pdf))) if most < 0 else set(best_subset(pdf["token_count"].tolist(), pdf["score"].tolist(), (pdf["tier"] == "critical").tolist(), pdf["tier"].isin(["redundant", "discardable"]).tolist(), most))
+        return pdf.assign(kept=[i in at for i in range(len(pdf))])[["session_id", "pos", "kept"]]
 
-    chosen = items.select("session_id", "pos", "token_count", "tier", "score").groupBy("session_id").applyInPandas(run, "session_id long, pos int, kept boolean")
+    kinds = dict(items.dtypes)
+    chosen = rows.groupBy("session_id").applyInPandas(run, f"session_id {kinds['session_id']}, pos {kinds['pos']}, kept boolean")
     return items.join(chosen, ["session_id", "pos"])
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Changed lines of a compact delta; what a delta may cost; shortest folded runs.
 COMPACT, SLACK, RUN_LINES, RUN_CHARS, SHORT_LINE = 12, 80, 3, 40, 4
@@ -71,22 +73,23 @@ class Folder:
         return "\n".join(out)
 
 
-def rewritten(items: DataFrame, roles_kept: tuple[str, ...] = ("system",)) -> DataFrame:
-    """session_id, pos, content, how: reads as deltas of earlier ones, repeated runs of lines folded.
+def rewritten(items: DataFrame, roles_kept: tuple[str, ...] = ("system",), frozen: Column | None = None) -> DataFrame:
+    """items with new content, and how: reads as deltas of earlier ones, repeated runs of lines folded.
 
-    items: session_id, pos, content, content_type, source. One group is one session."""
+    items: session_id, pos, content, content_type, source and others, which stay. One group is
+    one session, which a context window bounds. Frozen items stay as they are."""
+    frozen = F.lit(False) if frozen is None else F.coalesce(frozen, F.lit(False))
+    path = F.when(F.col("content_type").isin("code", "text") & (F.coalesce("source", F.lit("")) != "") & ~frozen, F.col("source"))
+    rows = items.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("__path", path).withColumn("__kept", frozen | F.coalesce(F.col("source").isin(*roles_kept), F.lit(False)))
+    schema = StructType([*items.schema.fields, StructField("how", StringType())])
 
     def run(pdf):
         reads, folds, out = Reads(), Folder(), []
-        for r in pdf.sort_values("pos").itertuples():
-            text, how = (r.content or ""), "item"
-            if r.content_type in ("code", "text") and r.source:
-                text, how = reads.take(r.source, text)
-            text = folds.take(int(r.pos), text, r.source in roles_kept)
-            out.append((r.session_id, int(r.pos), text, how))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["session_id", "pos", "content", "how"])
-
-    kind = dict(items.dtypes)["session_id"]
-    return items.select("session_id", "pos", "content", "content_type", "source").groupBy("session_id").applyInPandas(run, f"session_id {kind}, pos int, content string, how string")
+        pdf = pdf.sort_values("pos")
+        for pos, text, path, kept in zip(pdf["pos"], pdf["content"], pdf["__path"], pdf["__kept"], strict=True):
+            text, how = reads.take(path, text) if isinstance(path, str) else (text, "item")
+            out.append((folds.take(int(pos), text, bool(kept)), how))
+        pdf = pdf.drop(columns=["__path", "__kept"])
+        return pdf.assign(content=[t for t, _ in out], how=[h for _, h in out])
+
+    return rows.groupBy("session_id").applyInPandas(run, schema)

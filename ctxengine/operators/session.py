@@ -40,6 +40,16 @@ def superseded(items: DataFrame, session: str = "session_id") -> DataFrame:
     return items.withColumn("superseded", F.coalesce((F.col("pos") < last) & ~F.col("read_delta") & F.col("content_type").isin("code", "text"), F.lit(False)))
 
 
+def superseded_stub(path: Column, content: Column) -> Column:
+    return F.concat(F.lit("[first read: "), path, F.lit(", "), n_lines(content).cast("string"), F.lit("L — see DELTA below]"))
+
+
+def grep_stub(matches: Column, content: Column) -> Column:
+    """Names the matched files in their order."""
+    paths = F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?md)^([^:\s]+):\d+:"), 1))
+    return F.concat(F.lit("[grep: "), matches.cast("string"), F.lit(" matches in "), F.array_join(paths, ", "), F.lit(" — see earlier read]"))
+
+
 def covered_greps(greps: DataFrame, reads: DataFrame, session: list[str], key: str) -> DataFrame:
     """session, key, matches, covered: whether every matched line lies in the read of its file.
 
@@ -68,17 +78,18 @@ def outline(content: Column) -> Column:
     return F.array_join(F.concat(imports, names), "; ")
 
 
-def pointer(items: DataFrame, session: str = "session_id") -> DataFrame:
+def pointer(items: DataFrame, session: str = "session_id", asked: Column | None = None) -> DataFrame:
     """items with pointer: a large read off the task is its path, size and outline, or null.
 
-    Sessions with much code collapse smaller reads. Reads on the task (column on_task) and
-    critical text stay."""
+    Sessions with much code collapse smaller reads, and where there is a task (asked) reads of any
+    size. Reads on the task (column on_task) and critical text stay."""
+    asked = F.lit(False) if asked is None else asked
     code = F.sum(F.when(F.col("content_type") == "code", F.col("token_count")).otherwise(0)).over(Window.partitionBy(session))
     big = F.when(code >= 200, (n_lines(F.col("content")) >= 15) | (F.length("content") >= 400)).otherwise((n_lines(F.col("content")) >= 35) | (F.length("content") >= 800))
     long_ = F.concat(F.lit("[CBM: "), F.col("source"), F.lit(" — "), n_lines(F.col("content")).cast("string"), F.lit("L omitted. "), outline(F.col("content")), F.lit("]"))
     short = F.concat(F.lit("[omit:"), F.col("source"), F.lit("|"), n_lines(F.col("content")).cast("string"), F.lit("L]"))
     fits = F.when(F.length(long_) < F.length("content"), long_).otherwise(short)
-    return items.withColumn("pointer", F.when(big & is_file_read(F.col("source"), F.col("content_type")) & ~F.col("on_task") & ~F.col("content").rlike(CRITICAL), fits))
+    return items.withColumn("pointer", F.when((big | asked) & is_file_read(F.col("source"), F.col("content_type")) & ~F.col("on_task") & ~F.col("content").rlike(CRITICAL), fits))
 
 
 def signal_paths(paths: Column) -> Column:

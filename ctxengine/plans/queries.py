@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxengine.functions import detect, redact, relevance, tokens
 from ctxengine.functions.text import count_of
-from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, session, structured
+from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, semantic, session, structured
 from ctxengine.plans.optimize import optimize_context
 from ctxengine.sources import items as src
 
@@ -262,7 +262,33 @@ def q42(spark, d):
 
 
 def q50(spark, d):
-    return rewrite.rewritten(src.from_documents(_r(spark, d, "documents")))
+    return rewrite.rewritten(src.from_documents(_r(spark, d, "documents"))).select("session_id", "pos", "content", "how")
+
+
+def _agent_sessions(spark, d):
+    """Conversations whose replies are reads of a file in versions, searches in it, logs and status."""
+    turns = src.from_conversations(_r(spark, d, "conversations"))
+    k, path = F.col("pos") % 4, F.concat(F.lit("src/m"), F.col("session_id") % 7, F.lit(".py"))
+    read = F.concat(F.lit("import os\n\n\ndef total(x):\n    return x + "), F.col("pos"), F.repeat(F.lit("\n    # the same line of a file"), 12))
+    text = F.when(k == 1, read).when(k == 2, F.concat(path, F.lit(":4:def total(x):"))).when(k == 3, F.concat(F.lit("On branch main\n\tmodified:   src/x"), F.col("session_id") % 3, F.lit(".py\n"))).otherwise(F.col("content"))
+    kind = F.when(k == 1, "code").when(k == 2, "search").when(k == 3, "tool_output").otherwise("message")
+    return turns.withColumn("id", F.when(k == 0, F.col("id")).otherwise(F.concat(F.lit("read_"), F.col("pos")))).withColumn("content", text).withColumn("content_type", kind).withColumn("source", F.when(k == 0, F.col("source")).otherwise(path))
+
+
+def q51(spark, d):
+    """Equal runs of lines folded across the turns of each conversation, whose odd turns repeat the one before."""
+    turns = src.from_conversations(_r(spark, d, "conversations"))
+    before = F.lag("content").over(Window.partitionBy("session_id").orderBy("pos"))
+    turns = turns.withColumn("content", F.concat_ws("\n", F.when(F.col("pos") % 2 == 1, F.replace(before, F.lit(". "), F.lit(".\n"))), F.replace(F.col("content"), F.lit(". "), F.lit(".\n"))))
+    return rewrite.rewritten(turns).select("session_id", "pos", "content", "how")
+
+
+def q52(spark, d):
+    return semantic.sections(_agent_sessions(spark, d).withColumn("tier", F.lit("medium")))
+
+
+def q54(spark, d):
+    return optimize_context(_agent_sessions(spark, d))[0]
 
 
 def q53(spark, d):
@@ -273,7 +299,8 @@ QUERIES = {
     "q01_token_estimate": q01, "q02_content_type": q02, "q03_cli_detect": q03, "q04_segments": q04, "q05_volatile": q05, "q06_tier": q06, "q07_metrics": q07, "q08_bm25": q08, "q09_bm25_topk": q09,
     "q10_recency": q10, "q11_exact_dups": q11, "q12_containment": q12, "q13_repeat_lines": q13, "q14_stale_reads": q14, "q15_grep_coverage": q15, "q16_obsolete": q16, "q17_knapsack": q17, "q18_smart_rows": q18,
     "q19_constants": q19, "q20_severity_samples": q20, "q21_toon": q21, "q22_log_templates": q22, "q23_log_severity": q23, "q24_redact": q24, "q25_tool_shortlist": q25, "q26_risk": q26, "q27_recovery": q27,
-    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q50_rewrite_reads": q50, "q53_optimize_context": q53,
+    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
+    "q54_optimize_items": q54,
 }
 
 SQL_JSON = "(regexp_matches(s, '(?s)^(\\{.*\\}|\\[.*\\])$') and json_valid(s))"

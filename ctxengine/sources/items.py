@@ -31,10 +31,10 @@ def first_user_message(items: DataFrame) -> DataFrame:
     return items.where("source = 'user'").groupBy("session_id").agg(F.substring(F.min_by("content", "pos"), 1, 300).alias("task_query"))
 
 
-def from_documents(docs: DataFrame, session="source") -> DataFrame:
-    """Documents as files of one session for each value of `session`, in the order of doc_id."""
-    pos = F.row_number().over(Window.partitionBy(session).orderBy("doc_id")) - 1
-    return docs.select(F.col(session).alias("session_id"), pos.cast("int").alias("pos"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.lit("text").alias("content_type"), F.concat_ws("/", F.col("source"), F.concat(F.col("doc_id"), F.lit(".md"))).alias("source"))
+def from_documents(docs: DataFrame, files: int = 64) -> DataFrame:
+    """Documents as files of sessions of bounded size: each run of `files` ids is one session."""
+    block = F.floor(F.col("doc_id") / files)
+    return docs.select(block.alias("session_id"), (F.col("doc_id") - block * files).cast("int").alias("pos"), F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.lit("text").alias("content_type"), F.concat_ws("/", "source", F.concat(F.col("doc_id"), F.lit(".md"))).alias("source"))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
