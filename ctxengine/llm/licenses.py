@@ -41,7 +41,7 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "All-rights-reserved": "Copyright. All rights reserved.",
+    "All-rights-reserved": "All rights reserved.",
 }
 #: Words that only the end of a sentence adds to are equal without it.
 TOKEN = re.compile(r"\w+(?:[.+-]\w+)*")
@@ -135,10 +135,8 @@ class Scanner:
         return sorted(out, key=lambda x: (-x[1], -x[4], x[2], x[0]))
 
     def _windows(self, name: str, words: list[str], a: int, b: int) -> list[tuple[str, float, int, int, int]]:
-        template = self.words[name]
+        template, size = self.words[name], len(self.words[name])
         pairs = align(words[a:b], template)
-        if len(pairs) < 2:
-            return []
         # The densest run of aligned words: a stray one far away does not stretch the span.
         best, low = (0, 0, 0), 0
         for high in range(len(pairs)):
@@ -150,17 +148,27 @@ class Scanner:
         if share < self.coverage:
             # Two copies side by side have no unique words: each is looked at by itself.
             if b - a > 2 * len(template) + 2:
-                step = len(template)
-                tried = [x for s in range(a, b, step) for x in self._windows(name, words, s, min(b, s + 2 * step))]
-                out, end = [], a
-                for x in sorted(tried, key=lambda x: (x[2], -x[4])):
-                    if x[2] >= end:
-                        out.append(x)
-                        end = x[3]
-                return out
+                spans = [(s, s + 2 * size) for s in range(a, b, size)]
+                spans += [(s, s + size) for s in range(a, b - 1) if words[s : s + 2] == template[:2]]
+                return self._apart(name, words, spans, a, b)
             return []
         s, e = a + pairs[low][0], a + pairs[high][0] + 1
-        return [*self._windows(name, words, a, s), (name, share, s, e, n), *self._windows(name, words, e, b)]
+        out = [(name, share, s, e, n)]
+        for x, y in ((a, s), (e, b)):
+            # Many copies are not aligned as a whole again for each; no run is wider than half of these windows.
+            wide = [(k, k + 4 * size) for k in range(x, y, size)] if y - x > 8 * size else []
+            out += self._apart(name, words, wide, x, y) if wide else self._windows(name, words, x, y)
+        return out
+
+    def _apart(self, name: str, words: list[str], spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[str, float, int, int, int]]:
+        """What is found in the spans, without overlaps: most words first."""
+        tried = [x for s, e in spans for x in self._windows(name, words, s, min(b, e))]
+        out, taken = [], bytearray(b - a)
+        for x in sorted(tried, key=lambda x: (-x[4], x[3] - x[2], x[2])):
+            if not any(taken[x[2] - a : x[3] - a]):
+                out.append(x)
+                taken[x[2] - a : x[3] - a] = b"\x01" * (x[3] - x[2])
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

@@ -57,3 +57,38 @@ def test_scan_of_documents(spark):
     assert sum(r["license"] is not None for r in got.values()) >= 3
     assert all(r["license"] is None for d, r in got.items() if d is None or d >= 9000)
     assert not licenses.scan(odd(spark).limit(0)).count()
+
+
+LINES = {
+    "MIT": "Released under the MIT License.",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "All-rights-reserved": "All rights reserved.",
+}
+
+
+def test_every_licence_line_of_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    want = {d: {name for name, line in LINES.items() if line in t.split("\n")} for d, t in texts.items()}
+    want = {d: names for d, names in want.items() if names}
+    got = {r["doc_id"]: {x["license"] for x in r["found"]} for r in licenses.scan(df.where(df.doc_id.isin(list(want)))).collect()}
+    assert {name for names in want.values() for name in names} == set(LINES)
+    assert all(names <= got[d] for d, names in want.items())
+
+
+def test_reserved_rights_with_and_without_a_holder():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for t in ("All rights reserved.", "Copyright. All rights reserved.", "Copyright (c) 2024 A Long Holder Name Inc. All rights reserved."):
+        assert [x[0] for x in scanner.scan(t)] == ["All-rights-reserved"], t
+    assert not scanner.scan("Copyright law grants all rights to authors")
+
+
+def test_a_line_that_repeats_inside_other_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for name, line in LINES.items():
+        for n in (2, 3, 7):
+            found = [x for x in scanner.scan("one two three. " + (line + " ") * n + "four five six") if x[0] == name]
+            assert len(found) == n and all(x[1] == 1.0 for x in found), (name, n)
+    assert len(scanner.scan("All rights reserved. " * 5000)) == 5000
