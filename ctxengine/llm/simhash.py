@@ -54,11 +54,13 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, k: int, bits: int = 64) -> bytes:
+def fingerprint(text: str | None, k: int, bits: int = 64, distinct: bool = False) -> bytes:
     """Big-endian; a bit is 1 if set in over half of the shingles' hashes. Zero without words.
 
-    Words of 64 bits after the first are made of hashes of the hashes."""
-    return _fingerprint(shingles(text, k), bits)
+    Words of 64 bits after the first are made of hashes of the hashes. With distinct, a shingle
+    counts once however often it occurs."""
+    found = shingles(text, k)
+    return _fingerprint(list(set(found)) if distinct else found, bits)
 
 
 def _fingerprint(found: list[bytes], bits: int) -> bytes:
@@ -71,7 +73,7 @@ def _fingerprint(found: list[bytes], bits: int) -> bytes:
     return np.packbits(2 * total.ravel() > len(found)).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, bits: int = 64, distinct: bool = False) -> DataFrame:
     """doc_id, fp and same (binary), mark (long) for every row of docs: its fingerprint, a digest
     of its words, equal where they are, and xxhash64 of its text. Null text is the empty text."""
 
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame, k: int, bits: int = 64) -> DataFrame:
                 fps, same, mark = [], [], []
                 for t in part.column(1):
                     text = t.as_py() or ""
-                    fps.append(fingerprint(text, k, bits))
+                    fps.append(fingerprint(text, k, bits, distinct))
                     same.append(xxhash.xxh3_128_digest(b" ".join(text.encode().translate(_LOWER).split())))
                     mark.append(xxhash.xxh64_digest(text.encode(), SEED))
                 marks = np.frombuffer(b"".join(mark), ">i8").astype(np.int64)
@@ -325,13 +327,14 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     null doc_id is larger than all others; rows of one doc_id and text are one document.
     Columns are those of docs, whatever their names. Pairs are found by bands of a wide
     fingerprint (`recall` is the chance for the least similar ones), compared bit by bit, and
-    confirmed by their shingles; no group of copies meets as a whole in one task.
+    confirmed by their shingles; no group of copies meets as a whole in one task. Fingerprints are
+    of distinct shingles, as the sets are, so a passage that a text repeats moves no bit.
     """
     n = docs.count()
     bits, bands = bands_for(n, similarity, recall)
     width = max(COMPARED, -(-bits * bands // 64) * 64)
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    fps = written(fingerprints(docs, k, width), "fingerprints")
+    fps = written(fingerprints(docs, k, width, distinct=True), "fingerprints")
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
     classes = fps.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by("mark", F.struct(rank, "mark")).alias("mark"), F.min("fp").alias("fp"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")

@@ -65,6 +65,19 @@ def test_near_dedup_odd_rows(spark):
     assert all(r["mark"] == r["m"] for r in mark.collect())
 
 
+def test_near_dedup_of_repeated_passages(spark):
+    rng = random.Random(6)
+    rows, want = [], []
+    for i in range(30):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(304))
+        passage = " ".join(text.split()[:14])
+        rows += [(2 * i, text, "en", "s", 0), (2 * i + 1, text + (" " + passage) * 20, "en", "s", 0)]
+        want.append(2 * i)
+    assert plain_kept([r[:2] for r in rows]) == set(want)
+    got = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=1, max_size=12), st.integers(0, 12), st.sampled_from([0.5, 0.8, 1.0]))
 def test_similar(sets, cut, similarity):
