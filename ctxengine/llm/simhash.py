@@ -335,8 +335,8 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     width = max(COMPARED, -(-bits * bands // 64) * 64)
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     fps = written(fingerprints(docs, k, width, distinct=True), "fingerprints")
-    rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    classes = fps.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by("mark", F.struct(rank, "mark")).alias("mark"), F.min("fp").alias("fp"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    classes = fps.groupBy("same").agg(F.min("doc_id").alias("least"), F.min_by("mark", first).alias("mark"), F.min("fp").alias("fp"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("shown", 1 + i * bits, bits)) for i in range(bands)])
     keyed = classes.select("id", "fp", shown("fp", width).alias("shown")).select("id", F.substring("fp", 1, COMPARED // 8).alias("fp"), keys.alias("keys"))
@@ -364,15 +364,18 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
 
     edges = paired(sets, TEXT_BLOCK).groupBy("pair").applyInPandas(confirm, "a long, b long")
     linked_ = components(written(edges, "links"))
-    member = classes.join(linked_.withColumnRenamed("node", "id"), "id", "left").select("same", "least", F.coalesce("component", "id").alias("group"))
+    member = classes.join(linked_.withColumnRenamed("node", "id"), "id", "left").select("same", "least", "mark", F.coalesce("component", "id").alias("group"))
     member = written(member, "members")
-    least = member.groupBy("group").agg(F.min("least").alias("least_of_group"))
-    member = written(member.join(least, "group").select("same", "least_of_group"), "members")
+    # The document of each group that stays; its doc_id may be null, or that of other groups too.
+    first = F.struct(F.col("least").isNull(), "least", "mark")
+    least = member.groupBy("group").agg(F.min("least").alias("least_of_group"), F.min_by("mark", first).alias("mark_of_group"))
+    member = written(member.join(least, "group").select("same", "least_of_group", "mark_of_group"), "members")
     placed = fps.join(member, "same")
-    gone = written(placed.where(~F.col("doc_id").eqNullSafe(F.col("least_of_group"))).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "gone")
+    chosen = F.col("doc_id").eqNullSafe(F.col("least_of_group")) & (F.col("mark") == F.col("mark_of_group"))
+    gone = written(placed.where(~chosen).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "gone")
     stay = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
-    # One doc_id may have several texts of one group, or one text in several rows.
-    own = placed.where(F.col("doc_id").eqNullSafe(F.col("least_of_group"))).groupBy("doc_id", "least_of_group").agg(F.count(F.lit(1)).alias("n"))
-    if own.where("n > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id"])
+    # One document may be several rows.
+    if placed.where(chosen).groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
+        own = stay.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__mark", mark)
+        stay = own.dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")
     return stay

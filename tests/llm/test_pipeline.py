@@ -78,6 +78,18 @@ def test_near_dedup_of_repeated_passages(spark):
     assert sorted(got) == want
 
 
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (None, texts[1].upper())]
+    rows += [(7, texts[5]), (7, texts[6]), (7, texts[7]), (8, texts[7]), (9, texts[8]), (9, texts[8])]
+    rows += [(3, texts[9]), (3, texts[9] + " "), (None, texts[9]), (2, texts[10]), (1, texts[10]), (4, texts[11])]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"].lower().strip()) for r in simhash.deduplicated(df).collect()]
+    want = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:8]] + [(9, texts[8]), (3, texts[9]), (1, texts[10]), (4, texts[11])]
+    assert Counter(got) == Counter(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=1, max_size=12), st.integers(0, 12), st.sampled_from([0.5, 0.8, 1.0]))
 def test_similar(sets, cut, similarity):
