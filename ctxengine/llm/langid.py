@@ -21,8 +21,8 @@ from ctxengine.llm.url_tree import host_and_path
 
 #: Hash buckets of trigrams; weight of the uniform background in each model.
 BUCKETS, BACKGROUND = 65536, 0.1
-#: Labelled rows that the text model is fitted on, about (those with the smallest hashes);
-#: languages that it can have.
+#: Labelled rows of each language that the text model is fitted on, about (those with the smallest
+#: hashes); languages that it can have, those with the most labelled rows.
 TRAIN_ROWS, LANGUAGES = 4000, 64
 #: Neighbouring trigrams tell much the same, so a text counts for this share of them, and no
 #: text for more than MOST of them.
@@ -54,8 +54,9 @@ def grams(text: str | None) -> np.ndarray:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihood ratios to the background by language and bucket).
 
-    labelled: id, text, language; null languages are no labels. Fitted on about `rows` rows,
-    chosen by a hash of id; the result is bounded by LANGUAGES times BUCKETS."""
+    labelled: id, text, language; null languages are no labels. Fitted on about `rows` rows of
+    each language, chosen by a hash of id and text, or all where it has no more, so a rare language
+    has its model in a table of any size; the result is bounded by LANGUAGES times BUCKETS."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -72,11 +73,13 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
         return pd.DataFrame({"language": pdf["language"][:1], "counts": [total.tobytes()], "n": [int(total.sum())]})
 
     labelled = labelled.where("language is not null")
-    n = labelled.count()
-    if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(rows / n * (1 << 20)) + 1))
+    sizes = labelled.where(F.col("text").rlike(r"\p{L}")).groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()
+    if not sizes:
+        return [], np.zeros((0, BUCKETS), np.float32)
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["language"], min(1 << 20, int(rows / r["count"] * (1 << 20)) + 1))])
+    labelled = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < shares[F.col("language")])
     parts = labelled.select("language", "text").mapInArrow(count, "language string, counts binary")
-    found = parts.groupBy("language").applyInPandas(add, "language string, counts binary, n long").orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()
+    found = parts.groupBy("language").applyInPandas(add, "language string, counts binary, n long").collect()
     found = sorted((r for r in found if r["n"]), key=lambda r: r["language"])
     model = np.zeros((len(found), BUCKETS), np.float32)
     for k, r in enumerate(found):
@@ -124,8 +127,9 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keep: tup
     and rejected; id, declared, suffix, host and the columns `keep` stay.
 
     A row is rejected if its text has no letters, or enough of them and every language's
-    model is worse than the background, or if no language reaches LEAST_POSTERIOR. Null text
-    is the empty text. Without any language nothing is known: language and posterior are null
+    model is worse than the background, or if no language reaches LEAST_POSTERIOR. Where the
+    declared language has no model, nothing of this but the lack of letters rejects: the row
+    keeps its declared language, with null posterior. Null text is the empty text. Without any language nothing is known: language and posterior are null
     and nothing is rejected. All hosts' sums are grouped aggregates; host priors come back by
     a join of two tables, split where a host has most rows."""
     n = len(languages)
@@ -183,14 +187,16 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, keep: tup
     out = out.withColumn("__all", _softmax(_plus(_plus(F.col("__like"), F.coalesce("__prior", flat)), _plus(by_declared[F.col("__d")], by_suffix[F.col("__s")]))))
     names = F.array(*[F.lit(x) for x in languages])
     best = F.array_max("__all")
-    poor = (F.col("n_grams") >= LEAST_GRAMS) & (F.array_max("ratio") <= 0)
+    poor = ((F.col("n_grams") >= LEAST_GRAMS) & (F.array_max("ratio") <= 0)) | (best < LEAST_POSTERIOR)
+    # No model can speak against a language that has none.
+    unheard = poor & (F.col("__d") == n) & (F.col("n_grams") > 0)
     return out.select(
         "id", "declared", "suffix", "host", *keep,
-        names[(F.array_position("__all", best) - 1).cast("int")].alias("language"),
-        best.alias("posterior"),
+        F.when(unheard, F.col("declared")).otherwise(names[(F.array_position("__all", best) - 1).cast("int")]).alias("language"),
+        F.when(~unheard, best).alias("posterior"),
         F.when(F.col("n_grams") > 0, names[(F.array_position("__alone", F.array_max("__alone")) - 1).cast("int")]).alias("text_language"),
         "n_grams",
-        (poor | (F.col("n_grams") == 0) | (best < LEAST_POSTERIOR)).alias("rejected"),
+        ((poor & ~unheard) | (F.col("n_grams") == 0)).alias("rejected"),
     )
 
 

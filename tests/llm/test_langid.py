@@ -68,3 +68,24 @@ def test_accepted_keeps_columns(spark):
     assert out.columns == df.columns
     kept = Counter(r["doc_id"] for r in out.collect())
     assert kept[9006] == 2 and kept[None] == 1 and not kept[9002] and sum(kept[i] for i in range(60)) >= 55
+
+
+def test_rare_language_has_a_model_in_a_large_table(spark):
+    rows = [(i, "the quick brown fox and the lazy dog", "en") for i in range(3000)] + [(5000 + i, "αλφα βητα γαμμα δελτα", "el") for i in range(3)]
+    labelled = spark.createDataFrame(rows, "id long, text string, language string")
+    languages, model = langid.train(labelled, 10)
+    assert languages == ["el", "en"]
+    assert all(model[k][langid.grams(t)].mean() > 0 for k, t in ((0, rows[-1][1]), (1, rows[0][1])))
+
+
+def test_declared_language_without_a_model_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    text = "αλφα βητα γαμμα δελτα επσιλον"
+    rows = [(i, "the quick brown fox and the lazy dog", "en", "s", 36) for i in range(5)] + [(9, text, "el", "s", 29), (10, "12 34", "el", "s", 5), (11, text, "en", "s", 29), (12, text, None, "s", 29)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    evidence = langid.from_documents(df)
+    languages, model = langid.train(evidence.select("id", "text", F.col("declared").alias("language")).where("id < 5"))
+    got = {r["id"]: r for r in langid.identify(evidence, languages, model).collect()}
+    assert languages == ["en"] and got[9]["language"] == "el" and got[9]["posterior"] is None and not got[9]["rejected"]
+    assert got[10]["rejected"] and got[11]["rejected"] and got[12]["rejected"]
+    assert sorted(r["doc_id"] for r in langid.accepted(df.where("doc_id <> 11")).collect()) == [0, 1, 2, 3, 4, 9]
