@@ -11,6 +11,7 @@ as many as a bin has tokens, and the plan's size does not follow the number of d
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,27 +24,30 @@ from pyspark.sql import functions as F
 
 from ctxengine.llm.shared import written
 
-#: The end of a document; rows of a bucket of ranks.
+#: The end of a document; pieces of a length that are ranked in one task.
 END, BUCKET_ROWS = 0, 2000
 #: Fixed value: how a byte-level vocabulary cuts text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What the two engines of regular expressions may not both call white space.
-UNLIKE = re.compile("[\x1c-\x1f\x85]")
+UNLIKE = "[\x1c-\x1f\x85]"
 
 
 @dataclass(frozen=True)
 class Capacity:
-    """docs and attention: None for as much as the tokens allow. weights: of the residual
-    tokens, documents and attention cost. score: `norm` or `dot`."""
+    """What a sequence holds: tokens, documents and attention cost, None for as much of these
+    two as the tokens allow (a piece of all tokens costs their square, so a lower bound on the
+    cost asks for shorter pieces). weights: of the residual tokens, documents and attention
+    cost, each as a share of its capacity. score: `norm` or `dot`. The values here are those of
+    the query: 512 documents bind where they have four tokens or fewer on average."""
 
     tokens: int = 2048
-    docs: int | None = None
+    docs: int | None = 512
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     score: str = "norm"
 
     def full(self) -> np.ndarray:
-        return np.array([self.tokens, self.docs or self.tokens, self.attention or self.tokens**2], np.int64)
+        return np.array([self.tokens, min(self.docs or self.tokens, self.tokens), self.attention or self.tokens**2], np.int64)
 
 
 def byte_of() -> dict[str, int]:
@@ -74,19 +78,21 @@ def same_merges(path: str):
 class Encoder:
     """Texts to the bytes of their ids (little-endian, unsigned, 32 bits).
 
-    The ids are those of the tokenizer of the file at `path`, without special tokens, whose
-    strings are ordinary text; a faster library with the same vocabulary finds them where
-    both are known to agree."""
+    The ids are those of the tokenizer of the file at `path`: none is added, and a text that
+    holds the string of a special token has that token's id there. A faster library with the
+    same vocabulary finds the ids where both are known to agree."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.fast = same_merges(path)
+        with open(path, encoding="utf-8") as f:
+            added = [re.escape(t["content"]) for t in json.load(f).get("added_tokens", [])]
+        self.slow = re.compile("|".join([UNLIKE, *added]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        slow = {i: None for i, t in enumerate(texts) if self.fast is None or UNLIKE.search(t)}
+        slow = {i: None for i, t in enumerate(texts) if self.fast is None or self.slow.search(t)}
         out = [b"" if i in slow else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for i, t in enumerate(texts)]
         for i, e in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
@@ -150,13 +156,14 @@ def plan(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int, int
                 rest = (state[fits] - need).astype(float)
                 score = (rest**2 @ weights) if capacity.score == "norm" else -(state[fits].astype(float) * need @ weights)
                 at = int(fits[np.lexsort((first[fits], score))[0]])
+                each = int((state[at] // need).min()) if capacity.score == "norm" else 1
             else:
+                # Nothing else fits, so a new bin is filled up before the next one is opened.
                 each = int((full // need).min())
                 extra = -(-(count - rank) // each)
                 state, first, many = np.vstack([state, full]), np.append(first, bins), np.append(many, extra)
                 bins += extra
                 at = len(state) - 1
-            each = int((state[at] // need).min()) if capacity.score == "norm" else 1
             left = count - rank
             whole = min(int(many[at]), left // each)
             served = []
@@ -185,30 +192,40 @@ def plan(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int, int
     return runs
 
 
+def buckets_of(n: int) -> int:
+    """Buckets for n pieces of a length: neither their number nor their rows grow faster than
+    the square root of n."""
+    return 1 if n <= BUCKET_ROWS else math.isqrt(n)
+
+
 def packed(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), keep_ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset, a row for every piece.
 
-    Ranks within a length are found without its rows meeting: they are cut into buckets by a
-    hash of doc_id, the buckets' sizes give their offsets. Only the counts of lengths reach
-    the driver, and the plan that is broadcast is bounded by the capacity in tokens.
+    Ranks within a length are found without its rows meeting: a length with many is cut into
+    buckets by a hash, the buckets' sizes give their offsets. Only the counts of lengths reach
+    the driver, and what is broadcast is bounded by the capacity in tokens: a row for each
+    length and the plan's runs.
     Repeated rows are documents of their own. An empty table gives an empty one."""
     spark = docs.sparkSession
-    rows = written(pieces(docs, tokenizer, capacity.tokens, keep_ids), "pieces")
-    n = rows.count()
-    buckets = max(16, min(65536, n // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).alias("bucket")
-    parts = written(rows.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    own = pieces(docs, tokenizer, capacity.tokens, keep_ids)
+    # The partition keeps rows that are equal in all else from meeting in one bucket.
+    rows = written(own.withColumn("part", F.spark_partition_id()), "pieces")
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = spark.createDataFrame(plan(counts, capacity), "run_length long, first long, end long, bin long, each long, at long")
+    # A row for each length, so this is as small as the capacity in tokens.
+    cut = spark.createDataFrame([(k, buckets_of(n)) for k, n in counts.items()], "length long, buckets long")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "part"), F.col("buckets"))
+    cut_up = rows.join(F.broadcast(cut), "length").withColumn("bucket", bucket)
+    parts = cut_up.where("buckets > 1").groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(parts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = rows.withColumn("bucket", bucket).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
+    ranked = cut_up.join(offsets, ["length", "bucket"], "left").withColumn("rank", F.coalesce("before", F.lit(0)) + F.row_number().over(within) - 1)
     here = F.col("rank") - F.col("first")
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first"), F.col("end") - 1))
     sequence = F.col("bin") + F.floor(here / F.col("each"))
     offset = F.col("at") + F.pmod(here, F.col("each")) * F.col("length")
-    return placed.select(*rows.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return placed.select(*own.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -220,7 +237,7 @@ def sequences(rows: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """packed() with the production capacities and the public byte-level vocabulary."""
+    """packed() with the capacities of the query and the public byte-level vocabulary."""
     import public_tokenizers
 
     return packed(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
