@@ -4,6 +4,7 @@ from itertools import combinations
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ctxengine.llm import licenses
 from tests.llm.common import docs, odd
@@ -92,3 +93,20 @@ def test_a_line_that_repeats_inside_other_words():
             found = [x for x in scanner.scan("one two three. " + (line + " ") * n + "four five six") if x[0] == name]
             assert len(found) == n and all(x[1] == 1.0 for x in found), (name, n)
     assert len(scanner.scan("All rights reserved. " * 5000)) == 5000
+
+
+def test_many_notices_and_full_texts():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    assert len(scanner.scan(LINES["MIT"] + "\n" + (LINES["MIT"] + "\n") * 99_999)) == 100_000
+    assert len([x for x in scanner.scan((licenses.TEMPLATES["GPL-3.0-header"] + "\n") * 1500) if x[0] == "GPL-3.0-header"]) == 1500
+    pad = "some other words of a document that has nothing to do with it "
+    for name, text in licenses.TEMPLATES.items():
+        assert scanner.scan(pad * 20 + text + " " + pad * 20)[0][0] == name, name
+    # A licence's own holder and year, and a disclaimer of somebody else's name.
+    own = "MIT License\n\nCopyright (c) 2021 Somebody\n\n" + licenses.TEMPLATES["MIT-full"].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "SOMEBODY")
+    assert scanner.scan(own)[0][0] in ("MIT-text", "MIT-full") and {x[0] for x in scanner.scan(own)} >= {"MIT-text", "MIT-full"}
+
+
+def test_scan_with_clashing_columns(spark):
+    df = odd(spark).withColumn("found", F.lit(1)).withColumn("license", F.lit("x")).withColumn("coverage", F.lit(2.0))
+    assert [tuple(r) for r in licenses.scan(df).collect()] == [tuple(r) for r in licenses.scan(odd(spark)).collect()]
