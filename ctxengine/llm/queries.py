@@ -50,15 +50,17 @@ _OP4 = f"""with n as (select doc_id, text, coalesce(lead(text) over w, first_val
  l as (select *, {_put(_SET, f='fingerprint')} as a, {_put(_SET, f='edited_fingerprint')} as b, {_put(_SET, f='nf')} as c from f)
  select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness('a', 'b')} as near_edited, {_likeness('a', 'c')} as near_next from l"""
 
-_OP5 = r"""with d as (select doc_id, coalesce('s' || source, 't') as key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(doc_id::varchar, '')) as digest from documents),
+_OP5 = rf"""with d as (select row_number() over () as r, doc_id, coalesce('s' || source, 't') as key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as digest from documents),
  s as (select key, sum(size)::bigint as source_size from d group by 1),
  w as (select *, [5.0, 2.0, 1.0][(row_number() over (order by key) - 1) % 3 + 1]::double as weight, source_size * 2.0::double as most, sum(source_size) over () * 1.5::double as budget from s),
  v as (select *, (budget - coalesce(sum(most) over (order by most / weight, key rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by most / weight, key rows between current row and unbounded following) as level from w),
  x as (select *, (select arg_min(v2.level, row(v2.most / v2.weight, v2.key)) from v v2 where v2.level < v2.most / v2.weight) as water from v),
  g as (select key, source_size, coalesce(least(most, water * weight), most)::double as target from x),
- q as (select doc_id, size, source_size, target, digest, coalesce(sum(size) over (partition by key order by digest, size rows between unbounded preceding and 1 preceding), 0) as sent from d join g using (key))
- select doc_id, size, source_size, target, (greatest(0, least(size, round(target)::bigint - sent)) + greatest(0, least(size, round(target)::bigint - sent - source_size)))::bigint as taken,
- case when size > 0 and target > 0 then (sent + size)::double / target end as finish from q"""
+ q as (select r, doc_id, key, size, source_size, target, coalesce(sum(size) over (partition by key order by digest, size rows between unbounded preceding and 1 preceding), 0)::bigint as sent from d join g using (key)),
+ e as (select r, key, (sent + e.e * source_size + least(size, (j.j + 1) * {mixing.PACKET}))::double / target as finish, least(size, (j.j + 1) * {mixing.PACKET}) - j.j * {mixing.PACKET} as words from q, (select unnest(range(0, 2)) as e) e, lateral (select unnest(range(0, (size + {mixing.PACKET - 1}) // {mixing.PACKET})) as j) j where target > 0),
+ b as (select r, words, sum(words) over (order by finish, key rows between unbounded preceding and current row) as run from e),
+ t as (select r, sum(greatest(0, least(words, floor((select 1.5 * sum(size) from d))::bigint - (run - words)))) as taken from b group by 1)
+ select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, case when size > 0 and target > 0 then (sent + size)::double / target end as finish from q left join t using (r)"""
 
 
 def _spans(rule: secrets.Rule, i: int) -> str:

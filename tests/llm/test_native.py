@@ -89,7 +89,8 @@ def test_mixing(spark):
         assert r["source_size"] == sizes[s] and math.isclose(r["target"], target[s], abs_tol=1e-6)
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= mixing.PACKET for s in sizes)
+    assert sum(taken.values()) == math.floor(1.5 * sum(sizes.values()))
     again = mixing.report(docs(spark).repartition(7)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     assert not mixing.report(odd(spark).limit(0)).count()
