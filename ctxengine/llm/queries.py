@@ -22,14 +22,8 @@ QUERIES = {
     "op7_secret_scan": lambda spark, d: secrets.report(_read(spark, d, "documents")),
 }
 _DOCS = "(select doc_id, coalesce(text, '') as text, source from documents)"
-_LEAVES = f"list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{merkle.PIECE}'), lambda l: sha256(l) || '.' || length(l)))"
-_TREE = f"list_transform(string_split({{t}}, chr(10) || chr(10)), lambda s: {_LEAVES})"
-_PRINT = (
-    "sha256(array_to_string(list_transform({n}, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, chr(10)))), chr(10)))), chr(10))) || '|' || "
-    f"array_to_string(list_transform({{n}}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda l: substr(l, 1, {merkle.DIGITS}) || substr(l, 65)), ',')), ';')), '/')"
-)
-_SET = "list_distinct(list_filter(regexp_split_to_array(substr({f}, 66), '[/;,]'), lambda x: x <> ''))"
-_WEIGHT = f"coalesce(list_sum(list_transform({{l}}, lambda x: substr(x, {merkle.DIGITS + 2})::bigint)), 0)::double"
+_JOIN = "array_to_string(list_transform({l}, lambda c: {e}), {s})"
+_SHOWN = f"substr({{c}}.d, 1, {merkle.DIGITS}) || '.' || {{c}}.w"
 
 
 def _put(template: str, **values: str) -> str:
@@ -38,17 +32,56 @@ def _put(template: str, **values: str) -> str:
     return template
 
 
-def _likeness(a: str, b: str) -> str:
-    both = f"({_put(_WEIGHT, l=a)} + {_put(_WEIGHT, l=b)})"
-    return f"case when {both} = 0 then 1.0 else 2 * {_put(_WEIGHT, l=f'list_intersect({a}, {b})')} / {both} end::double"
-
-
-_OP4 = f"""with n as (select doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as nx from {_DOCS} window w as (order by doc_id desc)),
- e as (select doc_id, text, nx, substr(text, 1, length(text) - length(text) // 2) || substr(nx, 1, length(text) // 2) as ed from n),
- t as (select doc_id, length(text) as n_chars, sha256(ed) as edited_sha256, {_put(_TREE, t='text')} as a, {_put(_TREE, t='ed')} as b, {_put(_TREE, t='nx')} as c from e),
- f as (select doc_id, n_chars, edited_sha256, {_put(_PRINT, n='a')} as fingerprint, {_put(_PRINT, n='b')} as edited_fingerprint, {_put(_PRINT, n='c')} as nf from t),
- l as (select *, {_put(_SET, f='fingerprint')} as a, {_put(_SET, f='edited_fingerprint')} as b, {_put(_SET, f='nf')} as c from f)
- select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness('a', 'b')} as near_edited, {_likeness('a', 'c')} as near_next from l"""
+def _node(children: str, below: str) -> str:
+    """A node's digest, weight and shown children."""
+    digest = _put(_JOIN, l=children, e="c.d", s="chr(10)")
+    return f"{{{{'d': sha256({digest}), 'w': (1 + coalesce(list_sum(list_transform({children}, lambda c: c.w)), 0))::bigint, 'b': {below}}}}}"
+
+
+#: Of one text in a column t: its tree, level by level, as three steps of a query.
+_PIECES = f"list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{merkle.PIECE}'), lambda l: {{{{'d': sha256(l), 'w': length(l)}}}})))"
+_LINES = "list_transform(n, lambda s: list_transform(s, lambda p: " + _node("p", "'=' || " + _put(_JOIN, l="p", e=_put(_SHOWN, c="c"), s="','")) + "))"
+_PARTS = "list_transform(n, lambda s: " + _node("s", "':' || " + _put(_JOIN, l="s", e=_put(_SHOWN, c="c") + " || c.b", s="';'")) + ")"
+_ROOT = f"sha256({_put(_JOIN, l='n', e='c.d', s='chr(10)')}) || '|' || {_put(_JOIN, l='n', e=_put(_SHOWN, c='c') + ' || c.b', s=repr('/'))}"
+_PRINTS = f"""p0 as (select i, {_PIECES} as n from u), p1 as (select i, {_LINES} as n from p0), p2 as (select i, {_PARTS} as n from p1), f as (select i, {_ROOT} as f from p2)""".replace("{{", "{").replace("}}", "}")
+_BELOW = "list_filter(flatten(list_transform({n}, lambda q: string_split(split_part(q, '{e}', -1), '{b}'))), lambda q: q <> '')"
+_HEAVY = f"coalesce(list_sum(list_transform({{n}}, lambda q: substr(split_part(q, '{{e}}', 1), {merkle.DIGITS + 2})::bigint)), 0)"
+_ONLY = "list_filter(list_distinct({a}), lambda q: not list_contains({b}, q))"
+
+
+def _compared(name: str, a: str, b: str) -> str:
+    """Steps of a query from f-strings a and b of the table l to their likeness."""
+    steps = [f"{name}0 as (select i, {a} = {b} as same, string_split(substr({a}, 66), '/') as x, string_split(substr({b}, 66), '/') as y, 0 as shared, 2 as differ from l)"]
+    for k, (end, between) in enumerate(((":", ";"), ("=", ","), (",", None))):
+        u, v = _put(_ONLY, a="x", b="y"), _put(_ONLY, a="y", b="x")
+        shared = f"shared + {_put(_HEAVY, n='list_intersect(x, y)', e=end)}"
+        if between:
+            rest = f"{_put(_BELOW, n=u, e=end, b=between)} as x, {_put(_BELOW, n=v, e=end, b=between)} as y, {shared} as shared, differ + len({u}) + len({v}) as differ"
+        else:
+            rest = f"{shared} as shared, differ + {_put(_HEAVY, n=u, e=end)} + {_put(_HEAVY, n=v, e=end)} as differ"
+        steps.append(f"{name}{k + 1} as (select i, same, {rest} from {name}{k})")
+    steps.append(f"{name} as (select i, case when same then 1.0 else 2 * shared::double / (2 * shared + differ) end::double as {name} from {name}3)")
+    return ", ".join(steps)
+
+
+def _first(a: str, b: str) -> str:
+    return f"coalesce(list_position(list_transform(list_zip({a}, {b}), lambda z: z[1] is not distinct from z[2]), false), 0)"
+
+
+_PLACES = f"""s1 as (select i, fingerprint = edited_fingerprint as same, string_split(substr(fingerprint, 66), '/') as x, string_split(substr(edited_fingerprint, 66), '/') as y from l),
+ s2 as (select *, {_first('x', 'y')} as k1 from s1),
+ s3 as (select i, same, k1, string_split(split_part(coalesce(x[greatest(k1, 1)], ':'), ':', -1), ';') as x, string_split(split_part(coalesce(y[greatest(k1, 1)], ':'), ':', -1), ';') as y from s2),
+ s4 as (select *, {_first('x', 'y')} as k2 from s3),
+ s5 as (select i, same, k1, k2, string_split(split_part(coalesce(x[greatest(k2, 1)], '='), '=', -1), ',') as x, string_split(split_part(coalesce(y[greatest(k2, 1)], '='), '=', -1), ',') as y from s4),
+ places as (select i, case when not same then (k1 - 1) || '.' || (k2 - 1) || '.' || ({_first('x', 'y')} - 1) end as edited_at from s5)"""
+
+_OP4 = f"""with n as (select row_number() over () as r, doc_id, text, coalesce(lead(text) over w, first_value(text) over w) as nx from {_DOCS} window w as (order by doc_id desc)),
+ e as (select r, doc_id, text, nx, substr(text, 1, length(text) - length(text) // 2) || substr(nx, 1, length(text) // 2) as ed from n),
+ u as (select 3 * r as i, text as t from e union all select 3 * r + 1, ed from e union all select 3 * r + 2, nx from e),
+ {_PRINTS},
+ l as (select e.r as i, a.f as fingerprint, b.f as edited_fingerprint, c.f as next_fingerprint from e join f a on a.i = 3 * e.r join f b on b.i = 3 * e.r + 1 join f c on c.i = 3 * e.r + 2),
+ {_compared('near_edited', 'fingerprint', 'edited_fingerprint')}, {_compared('near_next', 'fingerprint', 'next_fingerprint')}, {_PLACES}
+ select doc_id, length(text) as n_chars, sha256(ed) as edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_at from e join l on l.i = e.r join near_edited ne on ne.i = e.r join near_next nn on nn.i = e.r join places p on p.i = e.r"""
 
 _OP5 = rf"""with d as (select row_number() over () as r, doc_id, coalesce('s' || source, 't') as key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as digest from documents),
  s as (select key, sum(size)::bigint as source_size from d group by 1),

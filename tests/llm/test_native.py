@@ -106,20 +106,53 @@ def test_mixed_documents_keep_clashing_columns(spark):
     assert max(v for k, v in n.items() if k != 9006) == 2
 
 
-def plain_tree(text):
-    def sha(x):
-        return hashlib.sha256(x.encode()).hexdigest()
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def plain_nodes(text):
+    """(digest, weight, children) of the root; a leaf has no children."""
 
-    leaves, sections = [], []
-    for section in text.split("\n\n"):
-        paragraphs, shown = [], []
-        for p in section.split("\n"):
-            pieces = [f"{sha(x)}.{len(x)}" for x in re.findall(merkle.PIECE, p)]
-            paragraphs.append(sha("\n".join(pieces)))
-            shown.append(",".join(x[:12] + x[64:] for x in pieces))
-        sections.append(sha("\n".join(paragraphs)))
-        leaves.append(";".join(shown))
-    return sha("\n".join(sections)) + "|" + "/".join(leaves)
+    def node(children):
+        return sha("\n".join(c[0] for c in children)), 1 + sum(c[1] for c in children), children
+
+    return node([node([node([(sha(x), len(x), None) for x in re.findall(merkle.PIECE, p)]) for p in s.split("\n")]) for s in text.split("\n\n")])
+
+
+def plain_tree(text):
+    def shown(n, marks):
+        return f"{n[0][:12]}.{n[1]}" + (marks[0][0] + marks[0][1].join(shown(c, marks[1:]) for c in n[2]) if n[2] is not None else "")
+
+    root = plain_nodes(text)
+    return root[0] + "|" + "/".join(shown(c, [":;", "=,"]) for c in root[2])
+
+
+def plain_likeness(a, b):
+    """By recursion over the trees: what differing nodes share, and what is left of them."""
+    x, y = plain_nodes(a), plain_nodes(b)
+    if x[0] == y[0]:
+        return 1.0
+    shared, differ, x, y = 0, 2, x[2], y[2]
+    while x or y:
+        mine, theirs = {n[0]: n for n in x}, {n[0]: n for n in y}
+        shared += sum(n[1] for d, n in mine.items() if d in theirs)
+        x = [n for d, n in mine.items() if d not in theirs]
+        y = [n for d, n in theirs.items() if d not in mine]
+        differ += sum(1 if n[2] is not None else n[1] for n in x + y)
+        x, y = ([c for n in z if n[2] is not None for c in n[2]] for z in (x, y))
+    return 2 * shared / (2 * shared + differ)
+
+
+def plain_place(a, b):
+    x, y, at = plain_nodes(a), plain_nodes(b), []
+    if x[0] == y[0]:
+        return None
+    for _ in range(3):
+        xs, ys = (z[2] or [] if z else [] for z in (x, y))
+        k = next((k for k in range(max(len(xs), len(ys))) if k >= len(xs) or k >= len(ys) or xs[k][0] != ys[k][0]), -1)
+        at.append(str(k))
+        x, y = (z[k] if 0 <= k < len(z) else None for z in (xs, ys))
+    return ".".join(at)
 
 
 def test_merkle(spark):
@@ -131,20 +164,51 @@ def test_merkle(spark):
         t, following = r["text"], order[(i + 1) % len(order)]["text"]
         half = len(t) // 2
         e = t[: len(t) - half] + following[:half]
-        want[r["doc_id"], len(t), hashlib.sha256(e.encode()).hexdigest(), plain_tree(t), plain_tree(e)] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == want
+        near = round(plain_likeness(t, e), 12), round(plain_likeness(t, following), 12)
+        want[r["doc_id"], len(t), sha(e), plain_tree(t), plain_tree(e), *near, plain_place(t, e)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 12), round(r["near_next"], 12), r["edited_at"]) for r in got) == want
     near = [r for r in got if r["n_chars"] > 400 and r["doc_id"] and r["doc_id"] < 9000]
     assert len(near) > 20 and all(0 <= r["near_next"] <= 1 and 0.3 < r["near_edited"] <= 1 for r in near)
     assert sum(r["near_edited"] > r["near_next"] for r in near) > 0.9 * len(near)
 
 
+TEXTS = ["", "\n", "\n\n", "\n\n\n", "a.", "a. a.", "a.\na.", "a.\n\na.", "One. Two. Three.", "One. 2. Three.", "One.\nTwo.\n\nThree.", "Three.\n\nOne.\nTwo.", "One.\nTwo.\n\nThree. Four."]
+
+
+def test_merkle_pairs_of_texts(spark):
+    pairs = spark.createDataFrame([(a, b) for a in TEXTS for b in TEXTS], "a string, b string").select("a", "b", merkle.fingerprint(F.col("a")).alias("x"), merkle.fingerprint(F.col("b")).alias("y"))
+    out = merkle.compared(pairs, "x", "y", "near").select("*", merkle.place(F.col("x"), F.col("y")).alias("place"), merkle.edits(F.col("x"), F.col("y")).alias("edits")).collect()
+    for r in out:
+        assert math.isclose(r["near"], plain_likeness(r["a"], r["b"])) and r["place"] == plain_place(r["a"], r["b"]), (r["a"], r["b"])
+        assert (r["near"] == 1) == (r["a"] == r["b"]) == (r["x"] == r["y"]) and not (r["a"] == r["b"] and r["edits"])
+    at = {(r["a"], r["b"]): [tuple(e) for e in r["edits"]] for r in out}
+    assert at["One. Two. Three.", "One. 2. Three."] == [(0, 0, 1, 5)]
+    assert at["One.\nTwo.\n\nThree. Four.", "One.\nTwo.\n\nThree."] == [(1, 0, 1, 6)]
+    assert at["One.\nTwo.\n\nThree.", "Three.\n\nOne.\nTwo."] == []
+
+
 def test_merkle_edges(spark):
     one = spark.createDataFrame([(5, "One. Two.", None, None, 9)], SCHEMA)
     r = merkle.report(one).first()
     assert r["near_next"] == 1.0 and r["fingerprint"] == plain_tree("One. Two.")
     assert not merkle.report(one.limit(0)).count()
-    changed = merkle.edits(merkle.fingerprint(merkle.tree(F.lit("One. Two. Three."))), merkle.fingerprint(merkle.tree(F.lit("One. 2. Three."))))
-    assert len(one.select(changed.alias("x")).first()["x"]) == 1
+    clash = odd(spark).withColumn("next", F.lit(1)).withColumn("id", F.lit(2)).withColumn("part", F.lit(3)).withColumn("fingerprint", F.lit("x"))
+    assert Counter(map(tuple, merkle.report(clash).collect())) == Counter(map(tuple, merkle.report(odd(spark)).collect()))
+
+
+def test_merkle_hot_ids_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 8)
+    data = [(None, f"null {i}.") for i in range(60)] + [(7, f"seven {i}.") for i in range(50)] + [(i, f"own {i}.") for i in range(0, 90, 3)]
+    out = merkle.with_next(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+    assert out.count() == len(data)
+    got = {r["text"]: r["next"] for r in out.collect()}
+    # A ring of all documents, doc_ids falling but for one step, null last.
+    at, seen = "own 87.", []
+    while at not in seen:
+        seen.append(at)
+        at = got[at]
+    ids = {t: -1 if d is None else d for d, t in data}
+    assert at == "own 87." and len(seen) == len(data) and [ids[t] for t in seen] == sorted(ids.values(), reverse=True)
 
 
 URLS = [
