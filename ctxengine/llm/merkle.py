@@ -30,11 +30,12 @@ def _leaf(piece: Column) -> Column:
     return F.struct(F.sha2(piece, 256).alias("digest"), F.length(piece).cast("long").alias("weight"))
 
 
-def _node(children: Column, end: str, between: str) -> Column:
-    """digest, weight and, as text, the shown children of a node, which end its own text."""
+def _node(children: Column, end: str, between: str, below) -> Column:
+    """digest, weight and, as text, what is below a node. children must be a variable of a
+    lambda, as any other expression would be computed anew for each of its uses here."""
     digest = F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), "\n"), 256)
     weight = F.aggregate(children, F.lit(1).cast("long"), lambda acc, c: acc + c["weight"])
-    return F.struct(digest.alias("digest"), weight.alias("weight"), F.concat(F.lit(end), F.array_join(F.transform(children, _shown), between)).alias("below"))
+    return F.struct(digest.alias("digest"), weight.alias("weight"), F.concat(F.lit(end), F.array_join(F.transform(children, below), between)).alias("below"))
 
 
 def _shown(node: Column) -> Column:
@@ -48,18 +49,14 @@ def _inner(node: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """Of a text; null is the empty text."""
     sections = F.split(F.coalesce(text, F.lit("")), "\n\n", -1)
+    pieces = F.transform(sections, lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), 0), _leaf)))
+    lines = F.transform(pieces, lambda s: F.transform(s, lambda p: _node(p, "=", ",", _shown)))
+    parts = F.transform(lines, lambda s: _node(s, ":", ";", _inner))
 
-    def paragraph(p):
-        return _node(F.transform(F.regexp_extract_all(p, F.lit(PIECE), 0), _leaf), "=", ",")
+    def root(nodes):
+        return F.concat(F.sha2(F.array_join(F.transform(nodes, lambda n: n["digest"]), "\n"), 256), F.lit("|"), F.array_join(F.transform(nodes, _inner), "/"))
 
-    def section(s):
-        own = F.transform(F.split(s, "\n", -1), paragraph)
-        node = _node(own, ":", ";")
-        return F.struct(node["digest"].alias("digest"), F.concat(_shown(node), F.lit(":"), F.array_join(F.transform(own, _inner), ";")).alias("shown"))
-
-    nodes = F.transform(sections, section)
-    root = F.sha2(F.array_join(F.transform(nodes, lambda n: n["digest"]), "\n"), 256)
-    return F.concat(root, F.lit("|"), F.array_join(F.transform(nodes, lambda n: n["shown"]), "/"))
+    return F.transform(F.array(parts), root)[0]
 
 
 def sections(print_: Column) -> Column:
@@ -138,10 +135,11 @@ def edits(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(sections(a), of_section))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, made=None) -> DataFrame:
     """doc_id, text (never null) and next: the text of the document with the next smaller
     doc_id, of the first one after the last. Null doc_ids are the last; documents with equal
-    doc_ids follow each other by a hash of their texts.
+    doc_ids follow each other by a hash of their texts. With `made`, which gives a column for a
+    column of texts, also the columns made and next_made, of the text and of the next.
 
     doc_ids are cut into ranges of about as many rows each, and a range ends with a copy of
     the first document of the following one, so only a range's rows meet in one task and texts
@@ -191,8 +189,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     tails = written(tails.select("part", "sub", F.col("z.id").alias("id"), F.col("z.hash").alias("hash")), "tails")  # one row a range
     ends = rows.join(F.broadcast(tails), ["id", "hash"]).select("doc_id", "text", "id", "part", "sub", F.lit(1).alias("tail"))
     own = placed(rows).select("doc_id", "text", "id", "part", "sub", F.lit(0).alias("tail"))
-    along = Window.partitionBy("part", "sub").orderBy("tail", "id", F.xxhash64("text"))
-    return own.unionByName(ends).withColumn("next", F.lead("text").over(along)).where("tail = 0").select("doc_id", "text", "next")
+    along = Window.partitionBy("part", "sub").orderBy("tail", "id", "order")
+    out = own.unionByName(ends).withColumn("order", F.xxhash64("text"))
+    if made is not None:
+        # A second window over the same rows in the same order: nothing moves again.
+        out = out.withColumn("next", F.lead("text").over(along)).withColumn("made", made(F.col("text"))).withColumn("next_made", F.lead("made").over(along))
+        return out.where("tail = 0").select("doc_id", "text", "next", "made", "next_made")
+    return out.withColumn("next", F.lead("text").over(along)).where("tail = 0").select("doc_id", "text", "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -207,10 +210,10 @@ def report(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have the fingerprint of the empty text. Repeated rows are documents
     of their own; a single document follows itself; an empty table gives an empty one."""
-    rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next")))
+    rows = with_next(docs, fingerprint).withColumn("edited", edited(F.col("text"), F.col("next")))
     rows = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next")).alias("next_fingerprint"),
+        F.col("made").alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("next_made").alias("next_fingerprint"),
     )
     rows = compared(compared(rows, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
     return rows.withColumn("edited_at", place(F.col("fingerprint"), F.col("edited_fingerprint"))).drop("next_fingerprint")
