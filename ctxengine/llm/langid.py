@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxengine.llm.shared import written
+from ctxengine.llm.shared import fresh, written
 from ctxengine.llm.url_tree import host_and_path
 
 #: Hash buckets of trigrams; weight of the uniform background in each model.
 BUCKETS, BACKGROUND = 65536, 0.1
 #: Labelled rows of each language that the text model is fitted on, about (those with the smallest
-#: hashes); languages that it can have, those with the most labelled rows.
-TRAIN_ROWS, LANGUAGES = 4000, 64
+#: hashes); a language is a code of two or three letters, maybe with a script or region.
+TRAIN_ROWS, CODE = 4000, "^[a-z]{2,3}([-_][a-z0-9]{2,8})*$"
 #: Neighbouring trigrams tell much the same, so a text counts for this share of them, and no
 #: text for more than MOST of them.
 SHARE, MOST = 1 / 3, 200.0
@@ -40,9 +40,9 @@ _letters: list[np.ndarray] = []
 def grams(text: str | None) -> np.ndarray:
     """Buckets of the trigrams of letters and gaps; gaps are one character, case is dropped."""
     if not _letters:
-        _letters.append(np.array([i if chr(i).isalpha() else 0 for i in range(0xD800)] + [0] * 0x800 + [i if chr(i).isalpha() else 0 for i in range(0xE000, 0x10001)], np.uint32))
+        _letters.append(np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], np.uint32))
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
-    kinds = _letters[0][np.minimum(codes, 0x10000)]
+    kinds = _letters[0][codes]
     gap = kinds == 0
     kinds = np.concatenate([[0], kinds[~(gap & np.concatenate([[True], gap[:-1]]))], [0]]).astype(np.uint32)
     if len(kinds) < 3 or not kinds.any():
@@ -56,7 +56,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
 
     labelled: id, text, language; null languages are no labels. Fitted on about `rows` rows of
     each language, chosen by a hash of id and text, or all where it has no more, so a rare language
-    has its model in a table of any size; the result is bounded by LANGUAGES times BUCKETS."""
+    has its model in a table of any size. Every value that has the form of a language's code and
+    a text with letters is a language; their number, not the table's, bounds the result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -72,8 +73,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
         total = sum(np.frombuffer(b, np.int64) for b in pdf["counts"])
         return pd.DataFrame({"language": pdf["language"][:1], "counts": [total.tobytes()], "n": [int(total.sum())]})
 
-    labelled = labelled.where("language is not null")
-    sizes = labelled.where(F.col("text").rlike(r"\p{L}")).groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()
+    labelled = labelled.where(F.col("language").rlike(CODE))
+    sizes = labelled.where(F.col("text").rlike(r"\p{L}")).groupBy("language").count().orderBy("language").collect()
     if not sizes:
         return [], np.zeros((0, BUCKETS), np.float32)
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["language"], min(1 << 20, int(rows / r["count"] * (1 << 20)) + 1))])
@@ -218,6 +219,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     evidence = from_documents(docs)
     languages, model = train(evidence.select("id", "text", F.col("declared").alias("language")))
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    its, of = fresh(docs.columns, "__id", "__mark")
     out = identify(evidence.withColumn("mark", mark), languages, model, ("mark",)).where("rejected")
-    out = written(out.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "rejected")
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    out = written(out.select(F.col("id").alias(its), F.col("mark").alias(of)).distinct(), "rejected")
+    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col(its)) & (mark == F.col(of)), "left_anti")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxengine.llm.shared import written
+from ctxengine.llm.shared import fresh, written
 
 #: Two characters that mark a match; in the text itself they stand as a third one of equal length.
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
@@ -143,12 +143,13 @@ def redact(docs: DataFrame) -> DataFrame:
     rules = BASE + ADDED
     _, ledger = scan(docs.select(F.col("doc_id").alias("path"), "text"), rules)
     by_blob = written(spans_by_blob(ledger, rules), "hits")
-    rows = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(by_blob.select(F.col("blob").alias("__blob"), F.col("hits").alias("__hits")), "__blob", "left")
+    named, hits = fresh(kept, "__blob", "__hits")
+    rows = docs.withColumn(named, F.sha2(F.coalesce("text", F.lit("")), 256)).join(by_blob.select(F.col("blob").alias(named), F.col("hits").alias(hits)), named, "left")
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
         gap = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit("[SECRET]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), gap.alias("out"))
 
-    text = F.aggregate("__hits", first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("__hits") > 0, text).otherwise(F.col("text"))).select(*kept)
+    text = F.aggregate(hits, first, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))))
+    return rows.withColumn("text", F.when(F.size(hits) > 0, text).otherwise(F.col("text"))).select(*kept)

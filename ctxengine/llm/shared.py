@@ -1,39 +1,27 @@
-"""Scratch tables in the shared folder, and connected components of an edge table."""
+"""Names, words and connected components of an edge table, for all operators of this package."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctxengine.sources.tables import written
+
 #: What counts as a word, the same in every operator that counts words.
 WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "components", "fresh", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="ctxengine-")
-        root = _own[app]
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends here, and lost executors do not matter."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each made longer until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(c):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxengine.llm.shared import components, written
+from ctxengine.llm.shared import components, fresh, written
 
 SEED = 42
 #: Of deduplicated(): bits that are compared, rows of a block of texts, and how far apart, in
@@ -372,10 +372,11 @@ def deduplicated(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: f
     member = written(member.join(least, "group").select("same", "least_of_group", "mark_of_group"), "members")
     placed = fps.join(member, "same")
     chosen = F.col("doc_id").eqNullSafe(F.col("least_of_group")) & (F.col("mark") == F.col("mark_of_group"))
-    gone = written(placed.where(~chosen).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "gone")
-    stay = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    its, of = fresh(docs.columns, "__id", "__mark")
+    gone = written(placed.where(~chosen).select(F.col("doc_id").alias(its), F.col("mark").alias(of)).distinct(), "gone")
+    stay = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(its)) & (mark == F.col(of)), "left_anti")
     # One document may be several rows.
     if placed.where(chosen).groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
-        own = stay.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__mark", mark)
-        stay = own.dropDuplicates(["__id", "__mark"]).drop("__id", "__mark")
+        own = stay.withColumn(its, F.col("doc_id").cast("long")).withColumn(of, mark)
+        stay = own.dropDuplicates([its, of]).drop(its, of)
     return stay

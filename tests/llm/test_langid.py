@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ctxengine.llm import langid
-from tests.llm.common import SF, docs, odd
+from tests.llm.common import SCHEMA, SF, docs, odd
 
 
 def plain_grams(text):
@@ -78,8 +78,7 @@ def test_rare_language_has_a_model_in_a_large_table(spark):
     assert all(model[k][langid.grams(t)].mean() > 0 for k, t in ((0, rows[-1][1]), (1, rows[0][1])))
 
 
-def test_declared_language_without_a_model_is_kept(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 1)
+def test_declared_language_without_a_model_is_kept(spark):
     text = "αλφα βητα γαμμα δελτα επσιλον"
     rows = [(i, "the quick brown fox and the lazy dog", "en", "s", 36) for i in range(5)] + [(9, text, "el", "s", 29), (10, "12 34", "el", "s", 5), (11, text, "en", "s", 29), (12, text, None, "s", 29)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -88,4 +87,78 @@ def test_declared_language_without_a_model_is_kept(spark, monkeypatch):
     got = {r["id"]: r for r in langid.identify(evidence, languages, model).collect()}
     assert languages == ["en"] and got[9]["language"] == "el" and got[9]["posterior"] is None and not got[9]["rejected"]
     assert got[10]["rejected"] and got[11]["rejected"] and got[12]["rejected"]
-    assert sorted(r["doc_id"] for r in langid.accepted(df.where("doc_id <> 11")).collect()) == [0, 1, 2, 3, 4, 9]
+    # A value that is no code of a language has no model; every code has one.
+    odd_value = df.where("doc_id < 11").withColumn("lang", F.when(F.col("doc_id") == 9, F.lit("greek, modern")).otherwise(F.col("lang")))
+    assert sorted(r["doc_id"] for r in langid.accepted(odd_value).collect()) == [0, 1, 2, 3, 4, 9]
+    assert sorted(r["doc_id"] for r in langid.accepted(df.where("doc_id <> 11")).collect()) == [0, 1, 2, 3, 4, 9, 12]
+
+
+def test_more_languages_than_any_bound(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    codes = [a + b for a in "abcdefghij" for b in "abcdefghij"]
+    rows = [(i * 10 + j, "".join(letters[4 * i : 4 * i + 4][(j + k) % 4] for k in range(12)), lang, "s", 12) for i, lang in enumerate(codes) for j in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    evidence = langid.from_documents(df)
+    languages, model = langid.train(evidence.select("id", "text", F.col("declared").alias("language")))
+    assert languages == sorted(codes)
+    assert all(r["language"] == r["declared"] and not r["rejected"] for r in langid.identify(evidence, languages, model).collect())
+
+
+def test_letters_of_all_planes():
+    assert not len(langid.grams("\U0001f600\U0001f601\U0001f602")) and len(langid.grams("\U00020000\U00020001\U00020002")) == 3
+
+
+def plain_identify(rows, languages, model):
+    """(id, language, posterior, rejected) by dictionaries and plain sums."""
+    n = len(languages)
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def value(x):
+        return None if x is None else languages.index(x) if x in languages else n
+
+    seen = []
+    for r in rows:
+        g = langid.grams(r["text"])
+        ratio = model[:, g].sum(1, dtype=float)
+        like = ratio * langid.SHARE * min(1, langid.MOST / max(1, len(g) * langid.SHARE))
+        seen.append((r, len(g), ratio, like, softmax(like)))
+    tables = []
+    for field in ("declared", "suffix"):
+        cells = np.full((n + 2, n), langid.CELL)
+        for r, size, _, _, alone in seen:
+            if size:
+                cells[n + 1 if r[field] is None else value(r[field])] += alone
+        logs = np.log(cells / cells.sum(0))
+        logs[n + 1] = 0
+        tables.append(logs)
+    hosts, parents, top = {}, {}, np.ones(n)
+    for r, size, _, _, alone in seen:
+        if size:
+            hosts[r["host"]] = hosts.get(r["host"], 0) + alone
+            parent = r["host"].split(".", 1)[1] if "." in r["host"] else r["host"]
+            parents[parent] = parents.get(parent, 0) + alone
+            top = top + alone
+    top = top / top.sum()
+    out = []
+    for r, size, ratio, like, _ in seen:
+        parent = r["host"].split(".", 1)[1] if "." in r["host"] else r["host"]
+        prior = top
+        if r["host"] in hosts:
+            for sums in (parents[parent], hosts[r["host"]]):
+                prior = (sums + langid.PRIOR * prior) / (sums.sum() + langid.PRIOR)
+        fused = softmax(like + np.log(prior) + sum(t[n + 1 if r[f] is None else value(r[f])] for t, f in zip(tables, ("declared", "suffix"))))
+        poor = (size >= langid.LEAST_GRAMS and ratio.max() <= 0) or fused.max() < langid.LEAST_POSTERIOR
+        unheard = poor and r["declared"] is not None and r["declared"] not in languages and size > 0
+        out.append((r["id"], r["declared"] if unheard else languages[fused.argmax()], None if unheard else round(fused.max(), 9), (poor and not unheard) or not size))
+    return out
+
+
+def test_posterior_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    evidence = langid.from_documents(docs(spark)).unionByName(langid.from_pages(pages))
+    languages, model = langid.train(langid.from_documents(docs(spark)).select("id", "text", F.col("declared").alias("language")))
+    got = [(r["id"], r["language"], None if r["posterior"] is None else round(r["posterior"], 9), r["rejected"]) for r in langid.identify(evidence, languages, model).collect()]
+    assert sorted(got, key=repr) == sorted(plain_identify([r.asDict() for r in evidence.collect()], languages, model), key=repr)

@@ -90,6 +90,44 @@ def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
     assert Counter(got) == Counter(want)
 
 
+CLASHES = ("__id", "__mark", "__blob", "__hits", "id", "mark", "hits", "blob", "key", "size", "k_0")
+
+
+def test_stages_keep_clashing_columns(spark):
+    df = docs(spark, 40)
+    with_more = df.select("*", *[F.concat_ws("-", F.lit(c), "doc_id").alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, with_more, SF)
+        assert out.columns == with_more.columns, name
+        got, want = out.collect(), stage(spark, df, SF).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in want), name
+        assert all(r["__id"] == "-".join(["__id"] + [str(r["doc_id"])] * (r["doc_id"] is not None)) for r in got), name
+        assert all(r["__hits"].startswith("__hits") and r["__blob"].startswith("__blob") for r in got), name
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs at 0.8 to 0.9, the least similar that count, found among unrelated texts."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for i in range(300):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        other = list(text)
+        while True:
+            changed = list(other)
+            changed[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+            x, y = shingle_set(" ".join(text)), shingle_set(" ".join(changed))
+            if len(x & y) < 0.8 * len(x | y):
+                break
+            other = changed
+        x, y = shingle_set(" ".join(text)), shingle_set(" ".join(other))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.9
+        rows += [(2 * i, " ".join(text), "en", "s", 0), (2 * i + 1, " ".join(other), "en", "s", 0)]
+        pairs.append(2 * i + 1)
+    got = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {2 * i for i in range(300)} <= got
+    assert sum(p not in got for p in pairs) >= 0.95 * len(pairs)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=1, max_size=12), st.integers(0, 12), st.sampled_from([0.5, 0.8, 1.0]))
 def test_similar(sets, cut, similarity):
