@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ctxengine.operators.tools import folded
+
 #: What must be saved; rows that stay; keys that say nothing without a query.
 LEAST_SAVED = 0.03
 PROTECTED = re.compile(r"error|fatal|critical|exception|failed|panic|traceback|warning", re.I)
@@ -224,10 +226,12 @@ def code(text: str, a: float, query: str) -> str | None:
 
 
 def best(text: str, kind: str, a: float, query: str, registry: dict | None = None) -> tuple[str, str]:
-    """(content, strategy): the shortest result of the compressors for the type."""
+    """(content, strategy): the shortest result of the compressors for the type. Blocks of lines
+    that a text repeats go first, and alone where that is all there is to do."""
     own = COMPRESSORS if registry is None else registry
-    found = [(len(out), k, out, name) for k, (name, (kinds, f)) in enumerate(own.items()) if kind in kinds and (out := f(text, a, query))]
-    size, _, out, name = min(found, default=(len(text), 0, text, "none"))
+    once = text if kind == "json" else folded(text)
+    found = [(len(out), k, out, name) for k, (name, (kinds, f)) in enumerate(own.items()) if kind in kinds and (out := f(once, a, query))]
+    size, _, out, name = min([*found, (len(once), -1, once, "blocks")])
     return (out, name) if size <= len(text) * (1 - LEAST_SAVED) else (text, "none")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxengine.functions import detect, relevance, tokens
-from ctxengine.operators import cli, compress, dedup, ranking, rewrite, semantic, session
+from ctxengine.operators import cli, compress, dedup, ranking, rewrite, semantic, session, tools
 from ctxengine.sources.tables import written
 
 #: How hard each quality compresses; what an item must save; headers that show savings.
@@ -107,7 +107,9 @@ def _compressed(rows: DataFrame, config: Config) -> DataFrame:
     base = QUALITY[config.quality]
     open_ = F.col("kept") & F.col("how").isin(*WHOLE)
     hard = relevance.aggressiveness(F.col("tier"), F.col("bm25"), base)
-    tool = cli.compressed(F.col("content"), a=base)
+    own = tools.compressed(F.when(open_ & ~F.col("content_type").isin("log", "json", "code", "message"), F.col("content")), hard, F.col("task_query"))
+    rows = rows.withColumn("__o", own)
+    tool = F.when(F.col("__o.compressed"), F.col("__o")).otherwise(cli.compressed(F.col("content"), a=base))
     by_type = compress.compressed(F.when(open_, F.col("content")), F.col("content_type"), hard, F.col("task_query"))
     rows = rows.withColumn("__c", by_type).withColumn("__t", F.when(open_ & ~F.col("content_type").isin("log", "json", "code", "message"), tool))
     use_tool = F.coalesce(F.col("__t.compressed"), F.lit(False))
@@ -116,7 +118,7 @@ def _compressed(rows: DataFrame, config: Config) -> DataFrame:
     rows = rows.withColumn("__text", text).withColumn("__name", name).withColumn("__n", tokens.estimate(F.col("__text")))
     good = F.coalesce(open_ & (F.col("__name") != "none") & (F.col("__n") < F.col("token_count") * (1 - LEAST_SAVED)), F.lit(False))
     rows = rows.withColumn("__good", good).withColumn("content", F.when(F.col("__good"), F.col("__text")).otherwise(F.col("content"))).withColumn("how", F.when(F.col("__good"), F.col("__name")).otherwise(F.col("how")))
-    return rows.drop("__c", "__t", "__text", "__name", "__n", "__good")
+    return rows.drop("__c", "__t", "__o", "__text", "__name", "__n", "__good")
 
 
 def shown(content: Column, ident: Column, kind: Column, source: Column, before: Column, now: Column) -> Column:

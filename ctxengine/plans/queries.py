@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxengine.functions import detect, redact, relevance, tokens
 from ctxengine.functions.text import count_of
-from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, semantic, session, structured
+from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, semantic, session, structured, tools
 from ctxengine.plans.optimize import optimize_context
 from ctxengine.sources import items as src
 
@@ -261,6 +261,26 @@ def q42(spark, d):
     return compress.lazy_catalog(tools).select("catalog_id", "tools", "full_chars", "catalog_chars")
 
 
+def _statuses(spark, d):
+    """A status for each source: its documents as changed, untracked and noisy files."""
+    k, n = F.col("doc_id") % 9, F.col("doc_id").cast("string")
+    path = F.when(k == 1, F.concat(F.lit("\tmodified:   src/m"), n, F.lit(".py"))).when(k == 2, F.concat(F.lit("\tnotes/n"), n, F.lit(".txt"))).when(k == 3, F.concat(F.lit("\ttmp_"), n, F.lit(".log")))
+    files = _r(spark, d, "documents").where("source is not null").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", k.alias("k"), path.alias("path")))).alias("z"))
+
+    def under(head, *kinds):
+        own = F.filter("z", lambda x: x["k"].isin(*kinds))
+        return F.when(F.size(own) > 0, F.concat(F.lit(head), F.array_join(F.transform(own, lambda x: x["path"]), "\n"), F.lit("\n"))).otherwise("")
+
+    text = F.concat(F.lit("On branch "), "source", F.lit("\n"), under("Changes not staged for commit:\n", 1), under("\nUntracked files:\n", 2, 3))
+    return files.select("source", text.alias("text"))
+
+
+def q43(spark, d):
+    """Statuses by the tools' router: the branch, some changed files, and numbers of the others."""
+    rows = _statuses(spark, d).select("source", "text", tools.compressed(F.col("text")).alias("c"))
+    return rows.select("source", F.length("text").cast("long").alias("chars"), F.col("c.content").alias("content"), "c.strategy", "c.compressed")
+
+
 def q50(spark, d):
     return rewrite.rewritten(src.from_documents(_r(spark, d, "documents"))).select("session_id", "pos", "content", "how")
 
@@ -295,11 +315,19 @@ def q53(spark, d):
     return optimize_context(src.from_conversations(_r(spark, d, "conversations")))[1]
 
 
+#: The same text by aggregates, and what its shortener must make of it at 0.85.
+_STATUS = """with f as (select source, list('\tmodified:   src/m' || doc_id || '.py' order by doc_id) filter (doc_id % 9 = 1) as m, list('src/m' || doc_id || '.py' order by doc_id) filter (doc_id % 9 = 1) as names,
+ list(case doc_id % 9 when 2 then '\tnotes/n' || doc_id || '.txt' else '\ttmp_' || doc_id || '.log' end order by doc_id) filter (doc_id % 9 in (2, 3)) as u, list('notes/n' || doc_id || '.txt' order by doc_id) filter (doc_id % 9 = 2) as notes from documents where source is not null group by 1),
+ t as (select *, 'On branch ' || source || '\n' || case when m is null then '' else 'Changes not staged for commit:\n' || array_to_string(m, '\n') || '\n' end || case when u is null then '' else '\nUntracked files:\n' || array_to_string(u, '\n') || '\n' end as text,
+ 'On branch ' || source || case when m is null then '' when len(m) <= 4 then '\nM: ' || array_to_string(names, ', ') else '\nmodified: ' || len(m) || ' files\n  ' || array_to_string(names[:3], '\n  ') || '\n  ... ' || (len(m) - 3) || ' more' end
+ || case when u is null then '' else '\nuntracked: ' || len(u) || case when notes is null then '' else '\n  ' || array_to_string(notes[:2], '\n  ') || case when len(notes) > 2 then '\n  ... ' || (len(notes) - 2) || ' more' else '' end end end as short from f)
+ select source, length(text) as chars, case when length(short) < length(text) then short else text end as content, 'git' as strategy, length(short) < length(text) as compressed from t"""
+
 QUERIES = {
     "q01_token_estimate": q01, "q02_content_type": q02, "q03_cli_detect": q03, "q04_segments": q04, "q05_volatile": q05, "q06_tier": q06, "q07_metrics": q07, "q08_bm25": q08, "q09_bm25_topk": q09,
     "q10_recency": q10, "q11_exact_dups": q11, "q12_containment": q12, "q13_repeat_lines": q13, "q14_stale_reads": q14, "q15_grep_coverage": q15, "q16_obsolete": q16, "q17_knapsack": q17, "q18_smart_rows": q18,
     "q19_constants": q19, "q20_severity_samples": q20, "q21_toon": q21, "q22_log_templates": q22, "q23_log_severity": q23, "q24_redact": q24, "q25_tool_shortlist": q25, "q26_risk": q26, "q27_recovery": q27,
-    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
+    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q43_git_status": q43, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
     "q54_optimize_items": q54,
 }
 
@@ -353,6 +381,7 @@ ORACLES = {
     "q10_recency": "select event_id, round(exp(-0.693 * ((epoch_us(timestamp '2024-06-01 00:00:00') - epoch_us(ts)) / 3.6e9) / 24), 6) as recency, case when regexp_matches(event_type, '(?i)(error|exception|traceback|failed)') then 5.0 else 0.0 end::double as error_boost from events",
     "q11_exact_dups": f"with h as (select lang, doc_id, {_sub(SQL_HASH, 'text')} as h from documents where length({_sub(STRIP, 'text')}) >= 50), k as (select lang, h, min(doc_id) as keep from h group by 1, 2) select lang, keep, doc_id as dup from h join k using (lang, h) where doc_id > keep",
     "q12_containment": f"with n as (select * from {SQL_NORMED}) select a.lang, a.doc_id as outer, b.doc_id as inner from n a join n b on a.lang = b.lang and a.doc_id <> b.doc_id and length(b.t) >= 40 and contains(a.t, b.t) and (a.t <> b.t or a.doc_id < b.doc_id)",
+    "q43_git_status": _STATUS,
     "q13_repeat_lines": f"select sha256({_sub(STRIP, 'line')}) as line_hash, count(distinct doc_id) as items, count(*) as lines from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length({_sub(STRIP, 'line')}) >= 4 group by 1 having count(*) > 1",
     "q14_stale_reads": "select conv_id, turn, max(turn) over (partition by conv_id, role) as last_turn, turn < max(turn) over (partition by conv_id, role) as is_stale from conversations",
     "q16_obsolete": "select event_id, '[obsolete note: ' || substr(trim(regexp_replace(c, '\\s+', ' ', 'g')), 1, 80) || ']' as stub from (select event_id, case when event_type = 'view' then 'deprecated:  ' else '' end || event_type || '  ' || props as c from events) where regexp_matches(c, '" + relevance.OBSOLETE + "')",

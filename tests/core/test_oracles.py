@@ -50,5 +50,5 @@ def test_key_branches(spark):
 def test_entry(spark):
     out = entry.entry(spark).collect()
     assert out and all(r["optimized_tokens"] <= r["original_tokens"] for r in out)
-    assert any(r["strategy"] == "optimized" and r["ratio"] > 0.2 for r in out)
+    assert any(r["strategy"] != "plain" and r["ratio"] > 0.2 for r in out)
     assert all(math.isfinite(r["ratio"]) for r in out)
