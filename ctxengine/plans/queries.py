@@ -228,6 +228,21 @@ def q31(spark, d):
     return items.groupBy("source").agg(F.sum(own).alias("original"), F.sum(left).alias("compressed"), F.sum(over).alias("overhead")).select("source", "original", "compressed", "overhead", F.round((F.col("original") - F.col("compressed") - F.col("overhead")) / F.col("original"), 6).alias("net"))
 
 
+SOURCES = ("src/a.py", "notes.md", "user", "README", "lib\\b.go", "x.cs ", "", "docs/guide.txt")
+
+
+def q32(spark, d):
+    """What each item of a made session weighs: orders as items of all tiers, ranks and sources."""
+    k = F.col("o_orderkey")
+    tiers, kinds, sources = (F.array(*[F.lit(x) for x in xs]) for xs in (list(relevance.TIERS), ("code", "text", "log"), SOURCES))
+    pick = lambda xs, n: F.element_at(xs, (k % n + 1).cast("int"))
+    rows = _r(spark, d, "orders").select(k, pick(tiers, 6).alias("tier"), ((k % 10) / 10).alias("bm25"), pick(kinds, 3).alias("kind"), pick(sources, 8).alias("source"), F.concat_ws(" ", "o_orderpriority", F.when(k % 7 == 0, "job Failed"), F.repeat(F.lit("x"), (k % 50).cast("int"))).alias("content"))
+    return rows.select(
+        "o_orderkey", "tier", F.round(relevance.aggressiveness(F.col("tier"), F.col("bm25")), 4).alias("aggressiveness"), relevance.tier_boost(F.col("tier")).alias("boost"), ranking.default_value(F.col("tier")).alias("value"),
+        tokens.quick_estimate(F.col("content")).cast("long").alias("quick_tokens"), relevance.is_file_read(F.col("source"), F.col("kind")).alias("is_file_read"), relevance.error_boost(F.col("content")).alias("error_boost"), ranking.dropped_stub(F.concat(F.lit("msg_"), k), tokens.estimate(F.col("content"))).alias("stub"),
+    )
+
+
 def _payloads(spark, d):
     """Every user's events as a JSON list, a log and a diff-like text."""
     e = _r(spark, d, "events")
@@ -323,11 +338,23 @@ _STATUS = """with f as (select source, list('\tmodified:   src/m' || doc_id || '
  || case when u is null then '' else '\nuntracked: ' || len(u) || case when notes is null then '' else '\n  ' || array_to_string(notes[:2], '\n  ') || case when len(notes) > 2 then '\n  ... ' || (len(notes) - 2) || ' more' else '' end end end as short from f)
  select source, length(text) as chars, case when length(short) < length(text) then short else text end as content, 'git' as strategy, length(short) < length(text) as compressed from t"""
 
+_CATALOG = """with p as (select p_type, p_name, '{"name":"' || p_name || '","description":"' || p_type || '. ' || repeat('More about it. ', 12) || '","inputSchema":{"type":"object","properties":{"query":{"type":"string","description":"what to find"},"size":{"type":"integer","description":"' || p_type || '"}}}}' as j, count(*) over (partition by p_type) as n from part)
+ select p_type as catalog_id, count(*) as tools, sum(length(j))::bigint as full_chars, (sum(length(case when n < 50 then p_name || '(query, size): ' || p_type || '.' when n < 100 then p_name || '(query, size)' else p_name end)) + count(*) - 1)::bigint as catalog_chars from p group by 1"""
+
+_WEIGHTS = """with i as (select o_orderkey, ['critical', 'high', 'medium', 'low', 'redundant', 'discardable'][o_orderkey % 6 + 1] as tier, (o_orderkey % 10) / 10.0::double as bm25, ['code', 'text', 'log'][o_orderkey % 3 + 1] as kind,
+ trim(['src/a.py', 'notes.md', 'user', 'README', 'lib\\b.go', 'x.cs ', '', 'docs/guide.txt'][o_orderkey % 8 + 1]) as source, o_orderpriority || case when o_orderkey % 7 = 0 then ' job Failed' else '' end || ' ' || repeat('x', (o_orderkey % 50)::int) as content from orders),
+ a as (select *, case tier when 'critical' then 0.55 when 'redundant' then 0.9 when 'discardable' then 0.95 else 0.85 end::double as own from i)
+ select o_orderkey, tier, round(case when bm25 < 0.1 and tier not in ('critical', 'high') then least(0.95, own + 0.15) when bm25 > 0.5 then greatest(0.15, own - 0.1) else own end, 4) as aggressiveness,
+ case tier when 'critical' then 10.0 when 'high' then 3.0 when 'low' then -2.0 when 'redundant' then -5.0 when 'discardable' then -10.0 else 0.0 end::double as boost,
+ case tier when 'critical' then 1000.0 when 'high' then 10.0 when 'medium' then 3.0 when 'low' then 1.0 else 0.0 end::double as value, greatest(1, length(content) // 4)::bigint as quick_tokens,
+ kind in ('code', 'text') and source in ('src/a.py', 'lib\\b.go', 'x.cs', 'docs/guide.txt') as is_file_read, case when o_orderkey % 7 = 0 then 5.0 else 0.0 end::double as error_boost,
+ '[dropped:msg_' || o_orderkey || '|' || greatest(1, floor(length(content) / 3.3)::int) || 'tok|knapsack]' as stub from a"""
+
 QUERIES = {
     "q01_token_estimate": q01, "q02_content_type": q02, "q03_cli_detect": q03, "q04_segments": q04, "q05_volatile": q05, "q06_tier": q06, "q07_metrics": q07, "q08_bm25": q08, "q09_bm25_topk": q09,
     "q10_recency": q10, "q11_exact_dups": q11, "q12_containment": q12, "q13_repeat_lines": q13, "q14_stale_reads": q14, "q15_grep_coverage": q15, "q16_obsolete": q16, "q17_knapsack": q17, "q18_smart_rows": q18,
     "q19_constants": q19, "q20_severity_samples": q20, "q21_toon": q21, "q22_log_templates": q22, "q23_log_severity": q23, "q24_redact": q24, "q25_tool_shortlist": q25, "q26_risk": q26, "q27_recovery": q27,
-    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q43_git_status": q43, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
+    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q32_item_weights": q32, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q43_git_status": q43, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
     "q54_optimize_items": q54,
 }
 
@@ -381,6 +408,8 @@ ORACLES = {
     "q10_recency": "select event_id, round(exp(-0.693 * ((epoch_us(timestamp '2024-06-01 00:00:00') - epoch_us(ts)) / 3.6e9) / 24), 6) as recency, case when regexp_matches(event_type, '(?i)(error|exception|traceback|failed)') then 5.0 else 0.0 end::double as error_boost from events",
     "q11_exact_dups": f"with h as (select lang, doc_id, {_sub(SQL_HASH, 'text')} as h from documents where length({_sub(STRIP, 'text')}) >= 50), k as (select lang, h, min(doc_id) as keep from h group by 1, 2) select lang, keep, doc_id as dup from h join k using (lang, h) where doc_id > keep",
     "q12_containment": f"with n as (select * from {SQL_NORMED}) select a.lang, a.doc_id as outer, b.doc_id as inner from n a join n b on a.lang = b.lang and a.doc_id <> b.doc_id and length(b.t) >= 40 and contains(a.t, b.t) and (a.t <> b.t or a.doc_id < b.doc_id)",
+    "q32_item_weights": _WEIGHTS,
+    "q42_lazy_catalog": _CATALOG,
     "q43_git_status": _STATUS,
     "q13_repeat_lines": f"select sha256({_sub(STRIP, 'line')}) as line_hash, count(distinct doc_id) as items, count(*) as lines from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length({_sub(STRIP, 'line')}) >= 4 group by 1 having count(*) > 1",
     "q14_stale_reads": "select conv_id, turn, max(turn) over (partition by conv_id, role) as last_turn, turn < max(turn) over (partition by conv_id, role) as is_stale from conversations",
