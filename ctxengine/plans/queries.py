@@ -350,6 +350,12 @@ _WEIGHTS = """with i as (select o_orderkey, ['critical', 'high', 'medium', 'low'
  kind in ('code', 'text') and source in ('src/a.py', 'lib\\b.go', 'x.cs', 'docs/guide.txt') as is_file_read, case when o_orderkey % 7 = 0 then 5.0 else 0.0 end::double as error_boost,
  '[dropped:msg_' || o_orderkey || '|' || greatest(1, floor(length(content) / 3.3)::int) || 'tok|knapsack]' as stub from a"""
 
+_SEGMENTS = r"""with l as (select page_id, unnest(z) as line, generate_subscripts(z, 1) as pos from (select page_id, string_split_regex(regexp_replace(replace(html, '><', '>' || chr(10) || '{<'), '\r?\n$', ''), '\r?\n') as z from pages)),
+ k as (select *, case when line like 'diff --git%' or line like '@@%' then 'diff' when regexp_matches(line, '^\s*[\{\[]') then 'json' when regexp_matches(line, '(ERROR|Traceback|FAILED|\d{4}-\d{2}-\d{2})') then 'log' when regexp_matches(line, '^(def |class |import |function )') then 'code' end as kind from l),
+ b as (select *, last_value(kind ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding) as before from k),
+ s as (select *, sum(case when kind is not null and before is not null and kind <> before then 1 else 0 end) over (partition by page_id order by pos)::bigint as segment from b)
+ select page_id, segment, coalesce(max(kind), 'text') as kind, count(*) as n_lines, (sum(length(line)) + count(*) - 1)::bigint as chars from s group by 1, 2"""
+
 QUERIES = {
     "q01_token_estimate": q01, "q02_content_type": q02, "q03_cli_detect": q03, "q04_segments": q04, "q05_volatile": q05, "q06_tier": q06, "q07_metrics": q07, "q08_bm25": q08, "q09_bm25_topk": q09,
     "q10_recency": q10, "q11_exact_dups": q11, "q12_containment": q12, "q13_repeat_lines": q13, "q14_stale_reads": q14, "q15_grep_coverage": q15, "q16_obsolete": q16, "q17_knapsack": q17, "q18_smart_rows": q18,
@@ -410,6 +416,7 @@ ORACLES = {
     "q12_containment": f"with n as (select * from {SQL_NORMED}) select a.lang, a.doc_id as outer, b.doc_id as inner from n a join n b on a.lang = b.lang and a.doc_id <> b.doc_id and length(b.t) >= 40 and contains(a.t, b.t) and (a.t <> b.t or a.doc_id < b.doc_id)",
     "q32_item_weights": _WEIGHTS,
     "q42_lazy_catalog": _CATALOG,
+    "q04_segments": _SEGMENTS,
     "q43_git_status": _STATUS,
     "q13_repeat_lines": f"select sha256({_sub(STRIP, 'line')}) as line_hash, count(distinct doc_id) as items, count(*) as lines from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length({_sub(STRIP, 'line')}) >= 4 group by 1 having count(*) > 1",
     "q14_stale_reads": "select conv_id, turn, max(turn) over (partition by conv_id, role) as last_turn, turn < max(turn) over (partition by conv_id, role) as is_stale from conversations",
