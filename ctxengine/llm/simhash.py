@@ -139,7 +139,10 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smaller node) of a chain through each component: no node has many."""
+    """Edges (node, smallest node of its component), one for each other node.
+
+    Stars need fewer rounds of contraction than chains. A hub may have very many edges:
+    components() aggregates them before the shuffle and splits them in its joins."""
     nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
     root = np.arange(len(nodes))
     x, y = ends[: len(i)], ends[len(i) :]
@@ -153,9 +156,8 @@ def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = root[root]
         if (root == before).all():
             break
-    order = np.lexsort((nodes, root))
-    same = root[order][1:] == root[order][:-1]
-    return nodes[order][1:][same], nodes[order][:-1][same]
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
 
 
 def _words(fps: list[bytes]) -> np.ndarray:
