@@ -36,3 +36,8 @@ def vocabulary_counter(path: str):
         return texts.fillna("").map(lambda t: len(own.encode(t, add_special_tokens=False).ids))
 
     return count
+
+
+def counter(path: str | None = None):
+    """text -> tokens: exact by a tokenizer file, else the estimate."""
+    return estimate if path is None else vocabulary_counter(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctxengine.functions import relevance, tokens
+from ctxengine.functions.redact import minimize
 from ctxengine.functions.text import content_hash
 from ctxengine.operators.ranking import K1, B, terms, top
 
@@ -48,6 +50,71 @@ def allow_execute(by_model: Column, confidence: Column, risk: Column) -> Column:
     return by_model & F.when(risk == "read", confidence >= 0.5).when(risk == "write", confidence >= 0.75).otherwise(F.lit(False))
 
 
+def _weight(text: str) -> tuple[Column, Column]:
+    """Sums of characters and of East Asian ones, with the separators and brackets of a list."""
+    east = F.length(text) - F.length(F.regexp_replace(text, tokens.EAST_ASIAN, ""))
+    return F.sum(F.length(text) + 2), F.sum(east)
+
+
+def _tokens(chars: Column, east: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor((chars - east) / F.lit(tokens.CHARS_PER_TOKEN)) + east).cast("long")
+
+
+def route(intents: DataFrame, tools: DataFrame, k: int = 8, allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
+    """intent_id, source, tool_name, candidates, risk, full_tokens, short_tokens, saved, route_key, allow_execute.
+
+    intents: intent_id, catalog_id, intent. tools: catalog_id, pos, name, description, schema_json
+    (a tool as the model would see it). A catalog that gives two tools one name is blocked, one
+    without tools skipped; else the best tools by BM25 stay, and the first is the pick. Ranks never
+    run a tool by themselves. route_key is equal where the intent without secrets and all tools are.
+    Tokens are those of the tools' list, by sums, so that no catalog is put together as a text."""
+    named = tools.where(F.coalesce("name", F.lit("")) != "")
+    if deny:
+        named = named.where(~F.col("name").isin(*deny))
+    if allow is not None:
+        named = named.where(F.col("name").isin(*allow))
+    mark = F.sha2(F.to_json(F.struct("name", F.substring("description", 1, 240).alias("d"), F.sha2("schema_json", 256).alias("s"))), 256)
+    chars, east = _weight("schema_json")
+    whole = named.withColumn("m", F.conv(F.substring(mark, 1, 15), 16, 10).cast("decimal(38,0)")).groupBy("catalog_id").agg(chars.alias("c"), east.alias("e"), F.sum("m").alias("m"), (F.count(F.lit(1)) > F.countDistinct("name")).alias("double"))
+    whole = whole.select("catalog_id", "m", "double", _tokens(F.col("c"), F.col("e")).alias("full_tokens"))
+    asked = intents.join(whole, "catalog_id", "left")
+    usable = named.join(whole.where("not double").select("catalog_id"), "catalog_id", "left_semi")
+    # An intent of a catalog without usable tools has no shortlist.
+    best = shortlist(asked.where("not double").select("intent_id", "catalog_id", "intent"), usable, k).join(intents.select("intent_id", "catalog_id"), "intent_id")
+    chars, east = _weight("schema_json")
+    best = best.join(usable, ["catalog_id", "pos"]).groupBy("intent_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("z"), chars.alias("c"), east.alias("e"))
+    rows = asked.join(best, "intent_id", "left").withColumn("short_tokens", F.when(F.col("z").isNotNull(), _tokens(F.col("c"), F.col("e"))))
+    source = F.when(F.col("double"), "blocked").when(F.col("z").isNull(), "skipped").otherwise("bm25")
+    name = F.try_element_at("z", F.lit(1))["name"]
+    key = F.substring(F.sha2(F.concat_ws("|", minimize(F.col("intent")), F.col("m").cast("string")), 256), 1, 32)
+    return rows.select(
+        "intent_id", source.alias("source"), name.alias("tool_name"), F.array_join(F.transform("z", lambda x: x["name"]), ", ").alias("candidates"), F.when(name.isNotNull(), relevance.risk(name)).alias("risk"),
+        F.coalesce("full_tokens", F.lit(1)).cast("long").alias("full_tokens"), "short_tokens", F.greatest(F.lit(0), F.col("full_tokens") - F.col("short_tokens")).cast("long").alias("saved"), key.alias("route_key"), F.lit(False).alias("allow_execute"),
+    )
+
+
+def schema_of(tools: DataFrame, asked: DataFrame, sessions: int = 100) -> DataFrame:
+    """asked (session_id, name) with schema_json: the session's first tool of the name, else null.
+
+    tools: session_id, pos, name, schema_json, stored_at. Only the newest sessions are kept."""
+    kept = tools.groupBy("session_id").agg(F.max("stored_at").alias("at")).orderBy(F.desc("at"), "session_id").limit(sessions)
+    own = tools.join(kept.select("session_id"), "session_id", "left_semi").groupBy("session_id", "name").agg(F.min_by("schema_json", "pos").alias("schema_json"))
+    return asked.join(own, ["session_id", "name"], "left")
+
+
+def cached(entries: DataFrame, changes: DataFrame, as_of: Column, ttl: int = 3600, most: int = 10_000) -> DataFrame:
+    """key, created_at, value: what a cache still gives: the newest entry of each key, of the newest
+    `most` keys, young enough, and no path it depends on (or file in a directory it depends on)
+    changed since.
+
+    entries: key, created_at (long seconds), value, dependencies (array of paths). changes: path, at."""
+    last = entries.groupBy("key").agg(F.max("created_at").alias("created_at"), F.max_by(F.struct("value", "dependencies"), "created_at").alias("z"))
+    last = last.orderBy(F.desc("created_at"), F.desc("key")).limit(most).where(as_of - F.col("created_at") <= ttl)
+    touched = changes.select(F.explode(F.array("path", F.regexp_replace("path", "/[^/]*$", ""))).alias("path"), "at").groupBy("path").agg(F.max("at").alias("at"))
+    gone = last.select("key", "created_at", F.explode("z.dependencies").alias("path")).join(touched, "path").where("at >= created_at").select("key")
+    return last.join(gone, "key", "left_anti").select("key", "created_at", "z.value")
+
+
 def recovery(items: DataFrame, as_of: Column, created: str = "created_at", ttl: int = 1800) -> DataFrame:
     """handle, content, created_at, alive: what can still be read back; the newest of a handle."""
     rows = items.select(F.substring(F.sha2("content", 256), 1, 12).alias("handle"), "content", F.col(created).alias("created_at"))
@@ -78,12 +145,13 @@ def handles(items: DataFrame) -> DataFrame:
     return items.select("*", F.substring(F.sha2("content", 256), 1, 12).alias("handle"), content_hash(F.col("content")).alias("hash"))
 
 
-def quality(text: Column, contain: Column, preserve: Column) -> Column:
-    """The share of checks that pass: contained whatever the case; preserved but for white space."""
+def quality(text: Column, contain: Column, preserve: Column, match: tuple[str, ...] = ()) -> Column:
+    """The share of checks that pass: contained whatever the case; preserved but for white space;
+    patterns found anywhere."""
     bare = F.regexp_replace(text, r"(?U)\s+", "")
     a = F.transform(contain, lambda c: F.contains(F.lower(text), F.lower(c)))
     b = F.transform(preserve, lambda c: F.contains(text, c) | F.contains(bare, F.regexp_replace(c, r"(?U)\s+", "")))
-    both = F.concat(a, b)
+    both = F.concat(a, b, F.array(*[text.rlike(p) for p in match]).cast("array<boolean>"))
     return F.when(F.size(both) == 0, 1.0).otherwise(F.size(F.filter(both, lambda x: x)) / F.size(both))
 
 

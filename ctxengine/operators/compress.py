@@ -14,9 +14,11 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ctxengine.operators import slicing
+from ctxengine.operators.structured import TEMPLATE, segments
 from ctxengine.operators.tools import folded
 
 #: What must be saved; rows that stay; keys that say nothing without a query.
@@ -26,6 +28,13 @@ QUIET_KEYS = {"email", "phone", "address", "avatar", "uuid", "page", "per_page",
 LEVEL = [("error", re.compile(r"\b(ERROR|FATAL|CRITICAL|PANIC)\b|Exception|Traceback|FAILED", re.I)), ("warning", re.compile(r"\bWARN", re.I)), ("debug", re.compile(r"\b(DEBUG|TRACE)\b", re.I))]
 HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
 SIGNATURE = re.compile(r"^\s*(?:(?:export|public|private|static|async|pub)\s+)*(?:def|class|function|fn|func|interface|struct|impl|type)\b")
+#: What stands between segments that were compressed apart; result lines of pytest;
+#: characters of a shown line and of a template.
+SEPARATOR = "\n\n---\n\n"
+TEST_RESULT = re.compile(r"^=+ .*\b\d+ (?:passed|failed|error)")
+TEST_PASSED = re.compile(r"^\S+::\S+ PASSED\b|^PASSED ")
+TEST_ERROR = re.compile(r"^(?:E\s{2,}\S|\S+::\S+ FAILED\b|FAILED )")
+SHOWN, KEY = 97, 120
 STAMP = re.compile(r"^\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?Z?\]?\s*")
 
 COMPRESSORS: dict[str, tuple[set[str], Callable[[str, float, str], str | None]]] = {}
@@ -141,17 +150,33 @@ def nested(text: str, a: float, query: str) -> str | None:
     return json.dumps(walk(data, 0), separators=(",", ":"), ensure_ascii=False)
 
 
+def _template(line: str) -> str:
+    for pattern, by in TEMPLATE:
+        line = re.sub(pattern, by, line)
+    return line[:KEY]
+
+
 @register("log", "log", "terminal")
 def log(text: str, a: float, query: str) -> str | None:
-    """Errors with the ends of their stacks, warnings, the commonest other lines, and counts."""
+    """Errors with the ends of their stacks, warnings, the commonest other lines, and counts.
+
+    Other lines are counted by their templates and shown by the first of each; results of a test
+    run stay, and its passed tests are a number."""
     rows = text.splitlines()
     if len(rows) <= 5:
         return None
-    errors, warnings, other, debug = [], [], Counter(), 0
+    errors, warnings, results, other, first, debug, passed = [], [], [], Counter(), {}, 0, 0
     stack = False
     for line in rows:
         level = next((n for n, p in LEVEL if p.search(line)), "info")
         bare = STAMP.sub("", line).rstrip()
+        if TEST_RESULT.match(line):
+            results.append(line.strip("= "))
+            continue
+        if TEST_PASSED.match(line):
+            passed += 1
+            continue
+        level = "error" if TEST_ERROR.match(line) else level
         if stack and re.match(r"\s+\S", line) and level == "info":
             continue  # frames: the exception behind them says what happened
         stack = line.startswith("Traceback") or bool(re.match(r"\s*at .+\(", line))
@@ -163,13 +188,18 @@ def log(text: str, a: float, query: str) -> str | None:
         elif level == "debug":
             debug += 1
         elif bare:
-            other[re.sub(r"\d+", "#", bare)[:80]] += 1
+            key = _template(bare)
+            other[key] += 1
+            first.setdefault(key, bare if len(bare) <= SHOWN + 3 else bare[:SHOWN] + "...")
     out = errors[: max(5, int(20 * (1 - a / 2)))]
     if not errors or a < 0.5:
         out += [w if n == 1 else f"[×{n}] {w}" for w, n in Counter(warnings).most_common(max(3, int(10 * (1 - a / 2))))]
-        out += [k if n == 1 else f"[×{n}] {k}" for k, n in other.most_common(max(2, int(5 * (1 - a))))]
+        out += [first[k] if n == 1 else f"[×{n}] {first[k]}" for k, n in other.most_common(max(2, int(5 * (1 - a))))]
     if len(errors) > len(out):
         out.append(f"... {len(errors) - len(out)} more errors")
+    out += results
+    if passed and not results:
+        out.append(f"{passed} passed")
     out.append(f"({len(rows)} lines: {len(errors)} errors, {len(warnings)} warnings, {debug} debug)")
     return "\n".join(out)
 
@@ -225,6 +255,12 @@ def code(text: str, a: float, query: str) -> str | None:
     return "\n".join(out)
 
 
+@register("slice", "code")
+def of_query(text: str, a: float, query: str) -> str | None:
+    """The parts of the code that the query asks for."""
+    return slicing.sliced(text, query) if query else None
+
+
 def best(text: str, kind: str, a: float, query: str, registry: dict | None = None) -> tuple[str, str]:
     """(content, strategy): the shortest result of the compressors for the type. Blocks of lines
     that a text repeats go first, and alone where that is all there is to do."""
@@ -247,6 +283,15 @@ def compressed(text: Column, kind: Column, a: float | Column = 0.85, query: Colu
     return run(text, kind, F.lit("") if query is None else F.coalesce(query, F.lit("")), a if isinstance(a, Column) else F.lit(float(a)))
 
 
+def routed(items: DataFrame, key: list[str], text: str, a: float = 0.85, query: Column | None = None) -> DataFrame:
+    """key, content, strategies: each segment of a text by the compressors of its kind, in order.
+
+    A null text is one empty segment. Segments of one text are put together again, no more."""
+    parts = segments(items, key, text).withColumn("c", compressed(F.col("content"), F.col("kind"), a, query))
+    out = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("segment", "c"))).alias("z"))
+    return out.select(*key, F.array_join(F.transform("z", lambda x: x["c"]["content"]), SEPARATOR).alias("content"), F.array_join(F.transform("z", lambda x: x["c"]["strategy"]), ",").alias("strategies"))
+
+
 #: Keys of tool schemas that say nothing to a model; names that explain themselves.
 DROP_KEYS = {"$id", "$schema", "$comment", "deprecated", "examples", "example", "markdownDescription", "readOnly", "title", "writeOnly"}
 PLAIN_NAMES = set(

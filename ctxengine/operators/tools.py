@@ -1,4 +1,4 @@
-"""Output of git, pytest, searches and listings, and blocks of lines that a text repeats.
+"""Output of git, pytest, vitest, searches and listings, and blocks of lines that a text repeats.
 
 A shortener takes (text, aggressiveness, query) and returns a shorter text, or None to leave it.
 Which one a text goes to is found by column functions; only the rewriting runs in Arrow batches.
@@ -172,14 +172,25 @@ def ls(text: str, a: float, query: str) -> str | None:
     return "\n".join([*rows[:most], f"... {len(rows) - most} more entries"]) if len(rows) > most else None
 
 
-SHORTENERS = {"git": git, "pytest": pytest, "grep": grep, "ls": ls}
+def vitest(text: str, a: float, query: str) -> str | None:
+    """Counts, the first failures, and how many passed."""
+    rows = [x.strip() for x in text.splitlines()]
+    failed = [x for x in rows if x.startswith("FAIL ") or "AssertionError" in x or "Expected" in x]
+    passed = sum(x.startswith(("PASS ", "✓")) for x in rows)
+    out = [x for x in rows if re.search(r"Tests\s+\d+|Test Files", x)][:2]
+    out += [f"=== FAIL ({len(failed)}) ===", *failed[:8]] if failed else []
+    out += [f"PASS: {passed} omitted"] if passed > 2 else []
+    return "\n".join(out) or None
+
+
+SHORTENERS = {"vitest": vitest, "git": git, "pytest": pytest, "grep": grep, "ls": ls}
 
 
 def tool(text: Column) -> Column:
     """The shortener that a text goes to; null for logs, other tools and plain text. A status
     comes before a test run, and that before a search or a listing."""
     shell, runner = detect.shell_tool(text), detect.test_runner(text)
-    return F.when(text.rlike(APP_LOG), F.lit(None).cast("string")).when(shell == "git", "git").when(runner == "pytest", "pytest").when(runner.isNotNull(), F.lit(None).cast("string")).when(shell.isin("pytest", "grep", "ls"), shell)
+    return F.when(text.rlike(APP_LOG), F.lit(None).cast("string")).when(shell == "git", "git").when(runner.isin("pytest", "vitest"), runner).when(runner.isNotNull(), F.lit(None).cast("string")).when(shell.isin("pytest", "grep", "ls"), shell)
 
 
 def compressed(text: Column, a: float | Column = 0.85, query: Column | None = None) -> Column:

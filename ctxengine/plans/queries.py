@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ctxengine.functions import detect, redact, relevance, tokens
 from ctxengine.functions.text import count_of
-from ctxengine.operators import catalog, cli, compress, dedup, ranking, rewrite, semantic, session, structured, tools
+from ctxengine.operators import catalog, cli, compress, dedup, measure, ranking, rewrite, semantic, session, structured, tools
 from ctxengine.plans.optimize import optimize_context
 from ctxengine.sources import items as src
 
@@ -96,7 +96,7 @@ def q07(spark, d):
 def _bm25(spark, d):
     docs = _r(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("content"))
     query = _r(spark, d, "benchmark").agg(F.min_by("text", "item_id").alias("task_query"))
-    langs = docs.select("lang").distinct().crossJoin(query)  # languages and one query
+    langs = docs.select("lang").distinct().crossJoin(query)  # languages and one query, the task of this report
     return ranking.bm25(docs, langs, ["doc_id"], ["lang"]).select("doc_id", "lang", F.round("score", 6).alias("score"))
 
 
@@ -209,10 +209,10 @@ def q28(spark, d):
 
 
 def q29(spark, d):
-    docs = _r(spark, d, "documents")
-    first = F.regexp_extract("text", r"^[^\n]{1,40}", 0)
-    checks = F.array(first, F.lit("the"))
-    return docs.select("doc_id", F.round(catalog.quality(F.col("text"), checks, F.array(F.substring("text", 1, 20), F.lit("no such text"))), 6).alias("score"))
+    """Whole texts against what they must hold: their language's name, their last line, patterns."""
+    last = F.substring_index("text", "\n", -1)
+    score = catalog.quality(F.col("text"), F.array(F.col("lang"), F.lit("the")), F.array(last, F.lit("no such text")), ("[0-9]{3,}", "(?i)licen[cs]e"))
+    return _r(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
 
 
 def q30(spark, d):
@@ -221,13 +221,82 @@ def q30(spark, d):
 
 
 def q31(spark, d):
-    items = src.from_conversations(_r(spark, d, "conversations"))
-    own = tokens.estimate(F.col("content"))
-    left = tokens.estimate(F.substring("content", 1, 100))
-    over = tokens.estimate(F.concat(F.lit("O: msg_"), F.col("pos")))
-    return items.groupBy("source").agg(F.sum(own).alias("original"), F.sum(left).alias("compressed"), F.sum(over).alias("overhead")).select("source", "original", "compressed", "overhead", F.round((F.col("original") - F.col("compressed") - F.col("overhead")) / F.col("original"), 6).alias("net"))
+    """What leaving out copies saves, by source: a later copy becomes a line with a handle."""
+    docs = _r(spark, d, "documents").select("lang", "source", "doc_id", F.col("text").alias("content"))
+    copies = dedup.exact(docs, "lang", "doc_id").select(F.col("dup").alias("doc_id"), "keep")
+    name = lambda c: F.concat(F.lit("d"), c)
+    rows = docs.join(copies, "doc_id", "left")
+    rows = rows.withColumn("after", F.when(F.col("keep").isNotNull(), measure.omission(name("doc_id"), name("keep"), F.col("content"))).otherwise(F.col("content")))
+    return measure.net(rows, "source", "content", "after")
+
+
+def q33(spark, d):
+    limits = spark.createDataFrame(LIMITS, "level string, key string, floor double")
+    return measure.failures(q30(spark, d), limits)
+
+
+def q34(spark, d):
+    return measure.stats(_r(spark, d, "documents").select("doc_id", "text")).drop("text")
+
 
+def q35(spark, d):
+    rows = _tiered(spark, d).select("session_id", F.col("pos").cast("long").alias("pos"), "id", "content", "tier", "token_count")
+    return measure.analysis(rows, large=LARGE_TURN).withColumnRenamed("session_id", "conv_id")
 
+
+def _catalogs(spark, d):
+    """Small catalogs of tools; some give two tools one name."""
+    p = _r(spark, d, "part")
+    schema = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "description": "'), "p_type", F.lit('", "size": '), F.col("p_size").cast("string"), F.lit("}"))
+    return p.select(F.concat("p_brand", F.lit("/"), "p_type", F.lit("/"), (F.col("p_size") % 5).cast("string")).alias("catalog_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), schema.alias("schema_json"))
+
+
+def q36(spark, d):
+    tools_ = _catalogs(spark, d)
+    intents = tools_.groupBy("catalog_id").agg(F.concat(F.lit("use the "), F.max("name"), F.lit(" token=abc123")).alias("intent")).withColumn("intent_id", F.col("catalog_id"))
+    routed = catalog.route(intents, tools_.where("name not like 'red %'"), k=2)
+    return routed.drop("route_key", "allow_execute")
+
+
+def q37(spark, d):
+    docs = _r(spark, d, "documents")
+    folder, k = F.concat(F.lit("/d"), (F.col("doc_id") % 40).cast("string")), F.col("doc_id").cast("string")
+    paths = F.array(F.concat(folder, F.lit("/f"), k), F.when(F.col("doc_id") % 3 == 0, folder).otherwise(F.lit("/none")))
+    entries = docs.select(F.substring(F.sha2("text", 256), 1, 32).alias("key"), (F.lit(1700000000) + F.col("doc_id") * 4).alias("created_at"), F.col("doc_id").alias("value"), paths.alias("dependencies"))
+    changes = _r(spark, d, "benchmark").select(F.concat(F.lit("/d"), F.col("item_id") % 40, F.lit("/f"), F.col("item_id") * 7).alias("path"), (F.lit(1700000000) + F.col("item_id") * 20).alias("at"))
+    return catalog.cached(entries, changes, F.lit(1700004000), most=900)
+
+
+def q38(spark, d):
+    tools_ = _catalogs(spark, d).select(F.col("catalog_id").alias("session_id"), "pos", "name", "schema_json", F.col("pos").alias("stored_at"))
+    asked = tools_.select("session_id", "name").distinct()
+    asked = asked.unionByName(asked.where("name like 'red %'").select("session_id", F.upper("name").alias("name")))
+    return catalog.schema_of(tools_, asked).select("session_id", "name", "schema_json")
+
+
+def q44(spark, d):
+    """Pages cut between tags: each part by the compressors of its kind."""
+    rows = _r(spark, d, "pages").select("page_id", F.replace(F.col("html"), F.lit("><"), F.lit(">\n{<")).alias("html"))
+    return compress.routed(rows, ["page_id"], "html")
+
+
+def _modules(spark, d):
+    """A Python module of each part type and brand, with a class whose methods are its parts."""
+    p = _r(spark, d, "part")
+    body = F.concat(F.lit("    def "), F.regexp_replace("p_name", r"\W+", "_"), F.lit("_"), F.col("p_partkey"), F.lit("(self, size: int) -> int:\n        price = "), F.col("p_size"), F.lit("\n        self.log(price)\n        return price + size\n"))
+    rows = p.groupBy("p_brand", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", body.alias("b")))), lambda x: x["b"]), "\n").alias("b"), F.max(F.concat(F.regexp_replace("p_name", r"\W+", "_"), F.lit("_"), F.col("p_partkey"))).alias("wanted"))
+    return rows.select("p_brand", "p_type", F.concat(F.lit("import os\n\n\nclass Store:\n"), "b").alias("text"), F.concat(F.lit("fix "), "wanted").alias("query"), "wanted")
+
+
+def q45(spark, d):
+    """Modules cut to the method that a task names."""
+    rows = _modules(spark, d).withColumn("c", compress.compressed(F.col("text"), F.lit("code"), 0.85, F.col("query")))
+    return rows.select("p_brand", "p_type", F.length("text").cast("long").alias("chars"), F.length("c.content").cast("long").alias("left"), "c.strategy", F.contains("c.content", "wanted").alias("found"))
+
+
+#: Floors that some of the orders' groups miss; from how many tokens on a turn is large here.
+LIMITS = [("total", "", 0.7), ("category", "1-URGENT", 0.5), ("category", "5-LOW", 0.75), ("fixture", "F", 0.9), ("fixture", "O", 0.2)]
+LARGE_TURN = 40
 SOURCES = ("src/a.py", "notes.md", "user", "README", "lib\\b.go", "x.cs ", "", "docs/guide.txt")
 
 
@@ -360,7 +429,7 @@ QUERIES = {
     "q01_token_estimate": q01, "q02_content_type": q02, "q03_cli_detect": q03, "q04_segments": q04, "q05_volatile": q05, "q06_tier": q06, "q07_metrics": q07, "q08_bm25": q08, "q09_bm25_topk": q09,
     "q10_recency": q10, "q11_exact_dups": q11, "q12_containment": q12, "q13_repeat_lines": q13, "q14_stale_reads": q14, "q15_grep_coverage": q15, "q16_obsolete": q16, "q17_knapsack": q17, "q18_smart_rows": q18,
     "q19_constants": q19, "q20_severity_samples": q20, "q21_toon": q21, "q22_log_templates": q22, "q23_log_severity": q23, "q24_redact": q24, "q25_tool_shortlist": q25, "q26_risk": q26, "q27_recovery": q27,
-    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q32_item_weights": q32, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q43_git_status": q43, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
+    "q28_feedback": q28, "q29_quality": q29, "q30_floors": q30, "q31_net": q31, "q33_floor_failures": q33, "q34_stats": q34, "q35_analysis": q35, "q36_route": q36, "q37_cache": q37, "q38_schema_of": q38, "q44_routed_segments": q44, "q45_code_slices": q45, "q32_item_weights": q32, "q40_compress": q40, "q41_cli_output": q41, "q42_lazy_catalog": q42, "q43_git_status": q43, "q50_rewrite_reads": q50, "q51_cross_turn": q51, "q52_semantic": q52, "q53_optimize_context": q53,
     "q54_optimize_items": q54,
 }
 
@@ -402,6 +471,31 @@ SQL_REDACT = "text"
 for _p in redact.SECRETS:
     SQL_REDACT = f"regexp_replace({SQL_REDACT}, {_quote(_p)}, '[REDACTED]', 'g')"
 
+_NET = f"""with h as (select *, {_sub(SQL_HASH, 'text')} as h, length({_sub(STRIP, 'text')}) >= 50 as ok from documents), k as (select lang, h, min(doc_id) as keep from h where ok group by 1, 2),
+ t as (select source, text, case when ok and doc_id > keep then 'OMIT: d' || doc_id || ' = d' || keep || ' <<ccr:' || substr(sha256(text), 1, 12) || '>>' else text end as z from h left join k using (lang, h)),
+ o as (select source, {_sub(SQL_TOK, 'text')} as a, {_sub(SQL_TOK, 'z')} as b, coalesce(list_sum(list_transform(regexp_extract_all(z, '(?m)^(?:O|OMIT):.*$|<<ccr:[0-9a-f]+>>'), lambda x: {_sub(SQL_TOK, 'x')})), 0) as w from t)
+ select source, sum(a)::bigint as original, sum(b)::bigint as compressed, sum(w)::bigint as overhead, round((sum(a) - sum(b) - sum(w)) / greatest(sum(a), 1), 6)::double as net from o group by 1"""
+_FAILURES = """with r as (select case grouping(o_orderpriority, o_orderstatus) when 3 then 'total' when 1 then 'category' else 'fixture' end as level, case grouping(o_orderpriority, o_orderstatus) when 3 then '' when 1 then o_orderpriority else o_orderstatus end as key, round((sum(o_totalprice) - sum(floor(o_totalprice / 3))) / greatest(sum(o_totalprice), 1), 6)::double as ratio from orders group by grouping sets ((), (o_orderpriority), (o_orderpriority, o_orderstatus))),
+ l(level, key, floor) as (values """ + ", ".join(f"('{a}', '{b}', {c}::double)" for a, b, c in LIMITS) + """)
+ select level, key, case level when 'total' then 'TOTAL ratio ' when 'category' then 'category ' || key || ': ' else key || ': ' end || printf('%.1f', ratio * 100) || '% below ' || case level when 'total' then 'baseline ' else 'floor ' end || printf('%.1f', floor * 100) || '%' as message from r join l using (level, key) where ratio < floor"""
+_ANALYSIS = f"""with i as (select conv_id, turn, text, tier, tok from {SQL_TIER}), n as (select conv_id, turn, {_sub(SQL_NORM, 'text')} as t from i where length({_sub(STRIP, 'text')}) >= 50),
+ e as (select conv_id, t, min(turn) as keep from n group by 1, 2), p as (select n.conv_id, keep as a, turn as b from n join e using (conv_id, t) where turn > keep union select a.conv_id, a.turn, b.turn from n a join n b on a.conv_id = b.conv_id and a.turn <> b.turn and length(b.t) >= 40 and contains(a.t, b.t) and (a.t <> b.t or a.turn < b.turn)),
+ d as (select p.conv_id, count(*) as duplicates, sum(tok) as redundant from p join i on i.conv_id = p.conv_id and i.turn = p.b group by 1),
+ s as (select conv_id, count(*) as items, sum(tok) as tokens, sum(case when tier = 'critical' then tok else 0 end) as critical, sum(case when tier in ('redundant', 'discardable') then tok else 0 end) as discardable, list('msg_' || turn order by turn) filter (tok > {LARGE_TURN}) as big, count(*) filter (tier in ('low', 'discardable')) as low, sum(case when tier in ('low', 'discardable') then tok else 0 end)::bigint as low_n from i group by 1)
+ select conv_id, items, tokens::bigint as tokens, critical::bigint as critical, discardable::bigint as discardable, coalesce(redundant, 0)::bigint as redundant, coalesce(duplicates, 0)::bigint as duplicates, concat_ws(chr(10), case when duplicates > 0 then 'Remove ' || duplicates || ' duplicate item(s) (~' || redundant::bigint || ' tokens)' end,
+ case when len(big) > 0 then 'Compress ' || len(big) || ' large item(s): ' || array_to_string(big[:5], ', ') end, case when low > 0 then 'Consider dropping ' || low || ' low-relevance items (~' || low_n || ' tokens)' end) as recommendations from s left join d using (conv_id)"""
+_SQL_CATALOGS = """(select p_brand || '/' || p_type || '/' || (p_size % 5) as c, p_partkey as pos, p_name as name, p_type as d, '{"name": "' || p_name || '", "description": "' || p_type || '", "size": ' || p_size || '}' as j from part)"""
+_ROUTE = f"""with a as {_SQL_CATALOGS}, t as (select * from a where name not like 'red %'), w as (select c, count(*) > count(distinct name) as dup, greatest(1, floor(sum(length(j) + 2) / 3.3))::bigint as full_tokens from t group by 1),
+ r as (select *, row_number() over (partition by c order by score desc, pos) as k from {_bm25_sql("(select pos, c, name || ' ' || d as content from t)", "(select c, 'use the ' || max(name) || ' token=abc123' as query from a group by 1)", 'pos', 'c')}),
+ z as (select c, list(name order by k) as names, greatest(1, floor(sum(length(j) + 2) / 3.3))::bigint as short_tokens from r join t using (c, pos) where k <= 2 group by 1), o as (select distinct c from a)
+ select c as intent_id, case when dup then 'blocked' when dup is null then 'skipped' else 'bm25' end as source, case when not dup then names[1] end as tool_name, case when not dup then array_to_string(names, ', ') end as candidates,
+ case when dup or dup is null then null when regexp_matches(lower(names[1]), '{'|'.join(relevance.DESTRUCTIVE)}') then 'destructive' when regexp_matches(lower(names[1]), '{'|'.join(relevance.WRITE)}') then 'write' else 'read' end as risk,
+ coalesce(full_tokens, 1)::bigint as full_tokens, case when not dup then short_tokens end as short_tokens, case when not dup then greatest(0, full_tokens - short_tokens) else 0 end::bigint as saved from o left join w using (c) left join z using (c)"""
+_CACHE = """with e as (select substr(sha256(text), 1, 32) as key, 1700000000 + doc_id * 4 as created_at, doc_id from documents), l as (select key, max(created_at) as created_at, max_by(doc_id, created_at) as value from e group by 1 order by 2 desc, 1 desc limit 900),
+ c as (select '/d' || item_id % 40 || '/f' || item_id * 7 as path, '/d' || item_id % 40 as folder, 1700000000 + item_id * 20 as changed from benchmark)
+ select key, created_at, value from l where 1700004000 - created_at <= 3600 and not exists (select 1 from c where changed >= created_at and (path = '/d' || value % 40 || '/f' || value or (value % 3 = 0 and folder = '/d' || value % 40)))"""
+_SEGMENT_TEXTS = _SEGMENTS.replace("count(*) as n_lines, (sum(length(line)) + count(*) - 1)::bigint as chars", "string_agg(line, chr(10) order by pos) as content")
+
 ORACLES = {
     "q01_token_estimate": f"select lang, count(*) as n_docs, sum(t)::bigint as sum_tokens, max(t)::bigint as max_tokens, round(avg(t), 6) as avg_tokens, round(sum(t) * 3.0 / 1e6, 6)::double as cost from (select lang, {_sub(SQL_TOK, 'text')} as t from documents) group by 1",
     "q02_content_type": f"select of, {SQL_TYPE} as content_type, count(*) as n from (select of, {_sub(STRIP, 'text')} as s from (select 'documents' as of, text from documents union all select 'pages', html from pages union all select 'events', props from events)) group by 1, 2",
@@ -433,8 +527,16 @@ ORACLES = {
     "q26_risk": f"select case when regexp_matches(lower(p_name), '{'|'.join(relevance.DESTRUCTIVE)}') then 'destructive' when regexp_matches(lower(p_name), '{'|'.join(relevance.WRITE)}') then 'write' else 'read' end as risk, count(*) as n from part group by 1",
     "q27_recovery": "select alive, count(*) as n, min(handle) as first_handle from (select substr(sha256(text), 1, 12) as handle, 1700003600 - max(1700000000 + doc_id * 4) <= 1800 as alive from documents group by 1) group by 1",
     "q28_feedback": "with r as (select 'u' || user_id as source, event_id as seq, case when event_type = 'error' then 0.0 else (event_id % 10) / 10 end::double as ratio from events), k as (select *, row_number() over (partition by source, ratio > 0 order by seq desc) as n from r), s as (select source, count(*) as attempts, sum((ratio > 0)::int) / count(*) as rate, coalesce(avg(case when ratio > 0 and n <= 50 then ratio end), 0) as av from k group by 1) select source, attempts, round(rate, 6) as success_rate, round(av, 6) as avg_ratio, round(case when attempts < 3 then 0.85 when rate > 0.7 and av > 0.3 then 1.0 when rate < 0.2 then 0.65 else 0.85 end, 6)::double as suggested from s",
-    "q29_quality": f"with c as (select doc_id, text, regexp_extract(text, '^[^\\n]{{1,40}}') as a, substr(text, 1, 20) as b from documents) select doc_id, round(((contains(lower(text), lower(a)))::int + contains(lower(text), 'the')::int + contains(text, b)::int + (contains(text, 'no such text') or contains(regexp_replace(text, '{SPACE}', '', 'g'), 'nosuchtext'))::int) / 4, 6)::double as score from c",
+    "q29_quality": f"select doc_id, round((contains(lower(text), lower(lang))::int + contains(lower(text), 'the')::int + (contains(text, z) or contains(regexp_replace(text, '{SPACE}', '', 'g'), regexp_replace(z, '{SPACE}', '', 'g')))::int + (contains(text, 'no such text') or contains(regexp_replace(text, '{SPACE}', '', 'g'), 'nosuchtext'))::int + regexp_matches(text, '[0-9]{{3,}}')::int + regexp_matches(text, '(?i)licen[cs]e')::int) / 6, 6)::double as score from (select *, string_split(text, chr(10))[-1] as z from documents)",
     "q15_grep_coverage": f"with g as (select item_id, item_id as d, {_sub(STRIP, 'text')} as x from benchmark where text <> '' union all select doc_id + 1000000, doc_id, {_sub(STRIP, 'regexp_extract(text, $$^[^\\n]*$$)')} from documents) select item_id, count(*) as matches, bool_and(coalesce(contains(text, x), false)) as covered from g left join documents on doc_id = d group by 1",
     "q30_floors": "select case grouping(o_orderpriority, o_orderstatus) when 3 then 'total' when 1 then 'category' else 'fixture' end as level, case grouping(o_orderpriority, o_orderstatus) when 3 then '' when 1 then o_orderpriority else o_orderstatus end as key, count(*) as n, round((sum(o_totalprice) - sum(floor(o_totalprice / 3))) / greatest(sum(o_totalprice), 1), 6)::double as ratio from orders group by grouping sets ((), (o_orderpriority), (o_orderpriority, o_orderstatus))",
-    "q31_net": f"select role as source, sum(a)::bigint as original, sum(b)::bigint as compressed, sum(o)::bigint as overhead, round((sum(a) - sum(b) - sum(o)) / sum(a), 6)::double as net from (select role, {_sub(SQL_TOK, 'text')} as a, {_sub(SQL_TOK, 'substr(text, 1, 100)')} as b, greatest(1, floor(length('O: msg_' || turn) / 3.3)::bigint) as o from {SQL_ITEMS}) group by 1",
+    "q31_net": _NET,
+    "q33_floor_failures": _FAILURES,
+    "q34_stats": f"select doc_id, t::bigint as tokens, length(text)::bigint as chars, round(t * 3.0 / 1e6, 9)::double as cost from (select doc_id, coalesce(text, '') as text, {_sub(SQL_TOK, "coalesce(text, '')")} as t from documents)",
+    "q35_analysis": _ANALYSIS,
+    "q36_route": _ROUTE,
+    "q37_cache": _CACHE,
+    "q38_schema_of": f"""with t as {_SQL_CATALOGS}, k as (select c, max(pos) as at from t group by 1 order by 2 desc, 1 limit 100), a as (select distinct c, name from t union all select distinct c, upper(name) from t where name like 'red %')
+ select a.c as session_id, a.name, min_by(j, pos) as schema_json from a left join (select t.* from t join k using (c)) t on t.c = a.c and t.name = a.name group by 1, 2""",
+    "q44_routed_segments": f"select page_id, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by segment) as content, string_agg('none', ',') as strategies from ({_SEGMENT_TEXTS}) group by 1",
 }
