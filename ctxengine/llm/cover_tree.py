@@ -6,8 +6,8 @@ further apart than both radii and the threshold, linked as a whole when they are
 every pair below is, and split otherwise, the larger ball first. The pairs found are exactly
 those of the threshold; a last look at each single pair takes the cosine in double precision.
 
-Trees are built over bounded blocks of vectors; the top level is the blocks themselves, whose
-balls are tested in the same way before two blocks meet.
+The upper levels are tables, split level by level until a leaf is a bounded block of vectors, and
+walked as joins; below, a tree is built over each block, and two blocks are walked in one task.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from ctxengine.llm.shared import components, written
 from ctxengine.llm.simhash import forest
 
-#: Rows of a block; balls that the top level has at most; what a bound gives away to rounding.
-BLOCK, PIVOTS, SLACK = 4096, 64, 1e-9
+#: Bytes of a block's vectors, and its rows at least; children that a node has at most, and rows
+#: from which their centres are taken; what a bound gives away to rounding.
+BLOCK_BYTES, LEAST_BLOCK, FAN, CANDIDATES, SLACK = 8 << 20, 256, 64, 256, 1e-9
 #: A ball with this radius or fewer vectors is not split further: its vectors are leaves.
 SMALL, LEAF = 2.0**-7, 4
 
@@ -195,15 +196,117 @@ def _units(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+def _halved(radius: float) -> float:
+    """The largest power of two below a radius."""
+    r = 1.0
+    while r >= radius and r > SMALL:
+        r /= 2
+    return r
+
+
+def grown(rows: DataFrame, dim: int, reach: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(members, nodes): the upper levels of the cover tree of rows (id, n, raw), as tables.
+
+    nodes: node, parent, centre, radius, rows, weight, head, leaf. members: id, n, raw, node, its
+    leaf. The root's ball holds every unit vector. A node of more than `block` rows that are not all
+    linked with each other is split: candidates by a hash, and its farthest row, become centres
+    if they lie further apart than half of its radius; each row goes to the nearest. A level is a
+    written table; a node of any size is split in parts of bounded size."""
+    spark = rows.sparkSession
+    left = written(rows.select("id", "n", "raw", F.lit("0").alias("node"), F.lit(2.0).alias("far")), "level")
+    heads = spark.createDataFrame([("0", None, np.eye(1, dim).tobytes())], "node string, parent string, centre binary")
+    levels, members, level = [], [], 0
+    while True:
+        own = left.groupBy("node").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"), F.min("id").alias("head"))
+        split = (F.col("rows") > block) & (F.col("radius") * 2 + SLACK >= reach)
+        own = written(own.join(heads, "node").withColumn("leaf", ~split), "nodes")
+        levels.append(own)
+        wide = own.where("not leaf").select("node", "rows", "radius")
+        if not wide.limit(1).count():
+            members.append(left.select("id", "n", "raw", "node"))
+            break
+        members.append(left.join(wide.select("node"), "node", "left_anti").select("id", "n", "raw", "node"))
+        todo = left.join(wide, "node")
+        level += 1
+        some = todo.where(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) * F.col("rows") < float(CANDIDATES << 30))
+        picked = some.select("node", "rows", "radius", "raw").unionByName(todo.groupBy("node", "rows", "radius").agg(F.max_by("raw", F.struct("far", "id")).alias("raw")))
+
+        def centres(key, pdf):
+            import pandas as pd
+
+            raw = sorted(pdf["raw"])
+            x = _units(raw, dim)
+            net, _ = _net(x, _halved(float(pdf["radius"].iloc[0])))
+            net = net[: max(2, min(FAN, -(-int(pdf["rows"].iloc[0]) // block)))]
+            return pd.DataFrame({"node": [f"{key[0]}.{k}" for k in range(len(net))], "parent": key[0], "centre": [x[i].tobytes() for i in net]})
+
+        heads = written(picked.groupBy("node").applyInPandas(centres, "node string, parent string, centre binary"), "centres")
+        parts = wide.select(F.col("node").alias("parent"), F.ceil(F.col("rows") / F.lit(4 * block)).alias("parts"))
+        sent = heads.join(parts, "parent").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        todo = todo.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / F.lit(4 * block))))
+
+        def place(own, near):
+            if not len(own):
+                return own.assign(far=0.0)[["id", "n", "raw", "node", "far"]]
+            near = near.sort_values("node")
+            c = np.stack([np.frombuffer(b) for b in near["centre"]])
+            x = _units(list(own["raw"]), dim)
+            dots = x @ c.T
+            to = dots.argmax(1)
+            far = np.linalg.norm(x - c[to], axis=1)
+            return own.assign(node=near["node"].to_numpy()[to], far=far)[["id", "n", "raw", "node", "far"]]
+
+        left = todo.select("node", "part", "id", "n", "raw").groupBy("node", "part").cogroup(sent.select("parent", "part", "node", "centre").groupBy("parent", "part"))
+        left = written(left.applyInPandas(place, "id long, n long, raw binary, node string, far double"), "level")
+    nodes, rest = levels[0], levels[1:]
+    for t in rest:
+        nodes = nodes.unionByName(t)
+    out = members[0]
+    for t in members[1:]:
+        out = out.unionByName(t)
+    return out, nodes
+
+
+def met(nodes: DataFrame, dim: int, reach: float) -> DataFrame:
+    """(a, b, whole): pairs of leaves, a leaf with itself included, that a walk down both sides at once
+    does not drop; whole if every pair of their rows is linked. A round goes one level down."""
+    own = nodes.select(F.col("node").alias("at"), "node", "centre", "radius", "leaf").where("leaf")
+    kids = written(nodes.where("parent is not null").select(F.col("parent").alias("at"), "node", "centre", "radius", "leaf").unionByName(own), "kids")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c, d = (np.stack([np.frombuffer(x) for x in batch.column(k).to_pylist()]) for k in (2, 3))
+                r = batch.column(4).to_numpy()
+                apart = np.linalg.norm(c - d, axis=1)
+                keep = apart <= r + reach + 2 * SLACK
+                whole = apart + r + 2 * SLACK < reach
+                out = [batch.column(0), batch.column(1), pa.array(whole), batch.column(5)]
+                yield pa.RecordBatch.from_arrays(out, ["a", "b", "whole", "done"]).filter(pa.array(keep))
+
+    x, y = kids.select(*[F.col(c).alias(f"x_{c}") for c in kids.columns]), kids.select(*[F.col(c).alias(f"y_{c}") for c in kids.columns])
+    pairs = nodes.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    out = None
+    while True:
+        both = pairs.join(x, F.col("a") == F.col("x_at")).join(y, F.col("b") == F.col("y_at")).where("a <> b or x_node <= y_node")
+        both = both.select("x_node", "y_node", "x_centre", "y_centre", F.col("x_radius") + F.col("y_radius"), F.col("x_leaf") & F.col("y_leaf"))
+        both = written(both.mapInArrow(near, "a string, b string, whole boolean, done boolean"), "pairs")
+        done = both.where("done").select("a", "b", "whole")
+        out = done if out is None else out.unionByName(done)
+        pairs = both.where("not done").select("a", "b")
+        if not pairs.limit(1).count():
+            return out
+
+
+def linked(vectors: DataFrame, cosine: float, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts, edges): counts (id, links) of the vectors that have a link; edges (a, b) join
     what links join. vectors: id (long, unique), n (weight in counts), v (array of double).
 
-    Every vector is in the cell of the nearest of a bounded number of pivots; a cell is cut
-    into blocks of bounded size. Two blocks meet if the balls of their cells allow it, in a
-    task of its own. Where nothing lies near anything, as in noise of many dimensions, no
-    ball allows anything to be left out and all pairs of blocks meet."""
-    spark = vectors.sparkSession
+    The upper levels of the tree are tables (`grown`), its leaves blocks of bounded size, and what a
+    walk over the upper levels leaves of their pairs (`met`) meets in a task for each. Leaves that
+    are linked as a whole do not meet: sums and one edge a row say all. Where nothing lies near
+    anything, as in noise of many dimensions, no ball allows anything to be left out and all pairs
+    of leaves meet."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,37 +315,40 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) // 8 for r in raw], pa.int32()), pa.array(raw, pa.binary())], ["id", "n", "dim", "raw"])
 
     rows = written(vectors.select("id", "n", F.col("v").cast("array<double>")).mapInArrow(pack, "id long, n long, dim int, raw binary"), "vectors")
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
-    dim = whole["dim"] or 1
-    some = rows.orderBy(F.xxhash64("id")).limit(max(1, min(pivots, whole["n"] // block))).select("raw").collect()
-    heads = _units([r["raw"] for r in some], dim) if some else np.ones((1, dim))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dots = _units(batch.column(3).to_pylist(), dim) @ heads.T
-            cell = dots.argmax(1)
-            far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(cell)), cell]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cell, pa.int32()), pa.array(far)], ["id", "n", "raw", "cell", "far"])
-
-    rows = written(rows.mapInArrow(place, "id long, n long, raw binary, cell int, far double"), "cells")
-    cells = {r["cell"]: (r["far"], -(-r["n"] // block)) for r in rows.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
-    reach = np.sqrt(max(0.0, 2 - 2 * cosine))
-    meet = [(a, b, cells[a][1], cells[b][1]) for a in sorted(cells) for b in sorted(cells) if a <= b and np.linalg.norm(heads[a] - heads[b]) <= cells[a][0] + cells[b][0] + reach + SLACK]
-    pairs = spark.createDataFrame(meet, "a int, b int, na int, nb int")
-    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)))
-    ends = F.array(F.struct(F.col("a").alias("cell"), F.col("i").alias("part"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cell"), F.col("j").alias("part"), F.lit(1).alias("side")))
-    pairs = pairs.withColumn("pair", F.concat_ws("-", "a", "i", "b", "j")).select("pair", F.inline(ends))
-    pairs = pairs.dropDuplicates(["pair", "cell", "part"])  # a block that meets itself comes once
-    number = F.create_map(*[F.lit(z) for c, (_, n) in sorted(cells.items()) for z in (c, n)]) if cells else F.create_map(F.lit(0), F.lit(1))
-    blocks = rows.withColumn("part", F.pmod(F.xxhash64("id"), number[F.col("cell")].cast("long")).cast("int"))
-    blocks = blocks.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("id", "n", "raw"))).alias("z"))
-    blocks = blocks.select("cell", "part", F.col("z.id").alias("ids"), F.col("z.n").alias("ns"), F.col("z.raw").alias("raws"))
+    dim = rows.agg(F.max("dim").alias("dim")).first()["dim"] or 1
+    block = block or max(LEAST_BLOCK, BLOCK_BYTES // (8 * dim))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    members, nodes = grown(rows, dim, reach, block)
+    nodes, leaves = written(nodes, "nodes"), nodes.where("leaf").select("node", "rows", "weight", "head")
+    found = met(nodes, dim, reach)
+
+    # Leaves that are linked as a whole, each with all of its partners, maybe itself.
+    whole = found.where("whole").select("a", "b")
+    whole = whole.unionByName(whole.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    whole = whole.join(leaves.select(F.col("node").alias("b"), "weight", "head"), "b").select(F.col("a").alias("node"), "b", "weight", "head")
+    sums = whole.groupBy("node").agg(F.sum("weight").alias("weight"), F.min("head").alias("partner"), F.max((F.col("node") == F.col("b")).cast("int")).alias("own"))
+    sums = written(members.select("id", "n", "node").join(sums, "node").select("id", (F.col("weight") - F.col("n") * F.col("own")).alias("links"), F.col("partner").alias("other")), "whole")
+    heads = whole.join(leaves.select("node", F.col("head").alias("id")), "node").select("id", F.col("head").alias("other")).where("id <> other")
+
+    # All other pairs of leaves meet; only leaves that are linked within themselves may be cut.
+    parts = leaves.select("node", F.ceil(F.col("rows") / F.lit(block)).alias("parts"))
+    pairs = found.where("not whole").select("a", "b").join(parts.toDF("a", "na"), "a").join(parts.toDF("b", "nb"), "b")
+    zero = F.lit(0).cast("long")
+    pairs = pairs.withColumn("i", F.explode(F.sequence(zero, F.col("na") - 1))).withColumn("j", F.explode(F.sequence(zero, F.col("nb") - 1)))
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("i").alias("part"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.col("j").alias("part"), F.lit(1).alias("side")))
+    pairs = pairs.withColumn("same", F.col("a") == F.col("b")).withColumn("pair", F.concat_ws("/", "a", "i", "b", "j")).select("pair", "same", F.inline(ends)).where("side = 0 or not same")
+    blocks = members.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = blocks.groupBy("node", "part").agg(F.sort_array(F.collect_list(F.struct("id", "n", "raw"))).alias("z"))
+    blocks = blocks.select("node", "part", F.col("z.id").alias("ids"), F.col("z.n").alias("ns"), F.col("z.raw").alias("raws"))
 
     def meeting(key, pdf):
         import pandas as pd
 
         sides = [(np.asarray(r.ids, np.int64), np.asarray(r.ns, np.int64), _units(list(r.raws), dim)) for r in pdf.sort_values("side").itertuples()]
-        same = len(sides) == 1
+        empty = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
+        same = bool(pdf["same"].iloc[0])
+        if not same and len(sides) < 2:
+            return empty  # the hash gave the other part no row
         (ids, ns, x), (jds, ms, y) = sides[0], sides[-1]
         a = Tree(x)
         b = a if same else Tree(y)
@@ -257,10 +363,11 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
             out.append(pd.DataFrame({"id": jds[has], "links": found.cy[has]}))
         return pd.concat([*out, pd.DataFrame({"id": e, "other": f})])[["id", "links", "other"]]
 
-    out = pairs.join(blocks, ["cell", "part"]).groupBy("pair").applyInPandas(meeting, "id long, links long, other long")
+    out = pairs.join(blocks, ["node", "part"]).groupBy("pair").applyInPandas(meeting, "id long, links long, other long")
     out = written(out, "links")
-    counts = out.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    return counts, out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    counts = out.where("links is not null").select("id", "links").unionByName(sums.where("links > 0").select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+    edges = out.where("other is not null").select("id", "other").unionByName(sums.select("id", "other").where("id <> other")).unionByName(heads)
+    return counts, edges.select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def report(embeddings: DataFrame, cosine: float = 0.95, **options) -> DataFrame:
