@@ -73,16 +73,3 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.report(df).collect())
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("7", 0, 7, True), ("None", 2, 5, False)]
     assert not cover_tree.report(df.limit(0)).count()
-
-
-@pytest.mark.parametrize("cosine", [0.95, 0.8])
-def test_levels_equal_all_pairs(spark, cosine):
-    """Clusters wider and narrower than the threshold, a tight one larger than a block, noise."""
-    rng = np.random.default_rng(5)
-    heads = rng.normal(size=(6, 8))
-    heads /= np.linalg.norm(heads, axis=1, keepdims=True)
-    x = np.concatenate([heads[0] + 0.01 * rng.normal(size=(150, 8)), heads[rng.integers(1, 6, 200)] + 0.1 * rng.normal(size=(200, 8)), rng.normal(size=(120, 8)), heads[0] + 0.07 * rng.normal(size=(60, 8))])
-    rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
-    got = cover_tree.report(df, cosine, block=24).collect()
-    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == plain(rows, cosine)
