@@ -6,12 +6,17 @@ further apart than both radii and the threshold, linked as a whole when they are
 every pair below is, and split otherwise, the larger ball first. The pairs found are exactly
 those of the threshold; a last look at each single pair takes the cosine in double precision.
 
-Trees are built over bounded blocks of vectors; the top level is the blocks themselves, whose
+Balls are first compared by a few directions that tell most about their own vectors: what the rest
+of two unit vectors can add to their cosine is at most the product of its lengths, and the radii
+are columns beside it, so a matrix product of short rows drops nearly all pairs and no link.
+
+Trees are built once over bounded blocks of vectors; the top level is the blocks themselves, whose
 balls are tested in the same way before two blocks meet.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +27,19 @@ from pyspark.sql import functions as F
 from ctxengine.llm.shared import components, written
 from ctxengine.llm.simhash import forest
 
-#: Rows of a block; balls that the top level has at most; what a bound gives away to rounding.
-BLOCK, PIVOTS, SLACK = 4096, 64, 1e-9
+#: Rows of a block at least and at most, and how many blocks there are between the two.
+BLOCK, MOST, PARTS = 4096, 65536, 8
+#: Balls that the top level has at most; what a bound gives away to rounding, in double and single precision.
+PIVOTS, SLACK, ROUGH = 64, 1e-9, 5e-5
 #: A ball with this radius or fewer vectors is not split further: its vectors are leaves.
-SMALL, LEAF = 2.0**-7, 4
+SMALL, LEAF = 2.0**-7, 16
+#: Levels above this radius are left out where they would hold most vectors anyway. Rows that show that, and
+#: the directions. Directions at least, and products from which they are worth while.
+FLAT, SOME, LEAST, MANY = 0.25, 1024, 16, 1 << 18
 
 
 class Tree:
-    """Balls over the rows of x (unit vectors); level k has radius 2^(1-k) at most.
+    """Balls over the rows of x (unit vectors); each level halves the radius at least.
 
     centre, radius, low, high: for each node its centre's row, its covering radius and its
     rows in `order`; first, last: its children, none for a leaf."""
@@ -43,7 +53,8 @@ class Tree:
             own = self.order[low[node] : high[node]].copy()
             if len(own) <= LEAF or radius[node] <= SMALL:
                 continue
-            while r >= radius[node] and r > SMALL:
+            some = x[own[:: -(-len(own) // SOME)]]
+            while r > SMALL and (r >= radius[node] or (r > FLAT and len(own) > 2 * SOME and 2 * len(_net(some, r)[0]) > len(some))):
                 r /= 2
             heads, home = _net(x[own], r)
             by = np.argsort(home, kind="stable")
@@ -65,6 +76,64 @@ class Tree:
         self.low, self.high, self.first, self.last = np.array(low), np.array(high), np.array(first), np.array(last)
         self.inner = self.last > self.first
 
+    ARRAYS = ("order", "centre", "low", "high", "first", "last")
+
+    def packed(self) -> dict[str, np.ndarray]:
+        return {"radius": self.radius} | {k: getattr(self, k).astype(np.int32) for k in self.ARRAYS}
+
+    @classmethod
+    def unpacked(cls, arrays) -> Tree:
+        out = cls.__new__(cls)
+        out.radius = arrays["radius"]
+        for k in cls.ARRAYS:
+            setattr(out, k, arrays[k].astype(np.int64))
+        out.inner = out.last > out.first
+        return out
+
+
+def _basis(x: np.ndarray, reach: float) -> np.ndarray:
+    """Orthonormal directions (columns) in which rows of x mostly differ by far more than reach."""
+    some = x[:: -(-len(x) // SOME)]
+    off = some - some.mean(0)
+    value, axis = np.linalg.eigh(off.T @ off / len(some))
+    n = int(np.searchsorted(np.cumsum(value[::-1]), 3 * reach * reach)) + 1
+    return axis[:, ::-1][:, : max(n, LEAST)]
+
+
+def _short(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Each row along the basis, and the length of what is left of it."""
+    head = x @ basis
+    return np.column_stack([head, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", head, head)))])
+
+
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    step = 1 << 16
+    return np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) for k in range(0, len(i), step)])
+
+
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Places of the true ones, few as they are: eight are looked at together."""
+    flat = flags.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64) != 0)
+    which, place = np.nonzero(flat.reshape(-1, 8)[some])
+    return 8 * some[which] + place
+
+
+def _close(x, p, f, y, q, g, limit) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in p, places in q, cosines) of rows p of x and q of y, all those for which f @ g.T reaches limit."""
+    for at in range(0, len(p), 512):
+        for to in range(0, len(q), 512):
+            near = f[at : at + 512] @ g[to : to + 512].T >= limit
+            hit = _true(near)
+            if len(hit):
+                i, j = at + hit // near.shape[1], to + hit % near.shape[1]
+                if 16 * len(hit) > near.size:
+                    yield i, j, (x[p[at : at + 512]] @ y[q[to : to + 512]].T).ravel()[hit]
+                else:
+                    yield i, j, _dots(x, p[i], y, q[j])
+
 
 def _reach(x: np.ndarray, i: int) -> float:
     return float(np.linalg.norm(x - x[i], axis=1).max()) if len(x) else 0.0
@@ -72,27 +141,42 @@ def _reach(x: np.ndarray, i: int) -> float:
 
 def _net(x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are further than r from each other, and for each row one of them within r."""
-    heads: list[int] = []
+    heads, n = np.zeros(len(x), np.int64), 0
     home = np.full(len(x), -1)
     limit = 1 - r * r / 2  # of the cosine
+    short = _short(x, _basis(x, r)).astype(np.float32) if len(x) > 2 * SOME else None
+    tops = np.zeros_like(short) if short is not None else None
     for at in range(0, len(x), 512):
         part = np.arange(at, min(at + 512, len(x)))
-        if heads:
-            dots = x[part] @ x[heads].T
+        if n and short is None:
+            dots = x[part] @ x[heads[:n]].T
             best = dots.argmax(1)
             near = dots[np.arange(len(part)), best] >= limit
             home[part[near]] = best[near]
-            part = part[~near]
+        elif n:
+            best = np.full(len(part), limit)
+            for i, j, dot in _close(x, part, short[part], x, heads[:n], tops[:n], limit - ROUGH):
+                by = np.argsort(dot, kind="stable")  # of several, the nearest is assigned last
+                i, j, dot = i[by], j[by], dot[by]
+                near = dot >= best[i]
+                best[i[near]], home[part[i[near]]] = dot[near], j[near]
+        part = part[home[part] < 0]
         dots = x[part] @ x[part].T >= limit
-        free = np.ones(len(part), bool)
-        for k in range(len(part)):
+        free, lone = np.ones(len(part), bool), dots.sum(1) <= 1
+        first = n
+        for k in np.flatnonzero(~lone).tolist():
             if free[k]:
                 covered = free & dots[k]
                 covered[k] = True
-                home[part[covered]] = len(heads)
-                heads.append(int(part[k]))
+                home[part[covered]], heads[n] = n, part[k]
+                n += 1
                 free &= ~covered
-    return np.array(heads), home
+        alone = part[lone]
+        home[alone], heads[n : n + len(alone)] = np.arange(n, n + len(alone)), alone
+        n += len(alone)
+        if short is not None:
+            tops[first:n] = short[heads[first:n]]
+    return heads[:n], home
 
 
 def _grown(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,30 +187,43 @@ def _grown(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Found:
-    """Links so far: for each row of either side the weight of its partners, and edges."""
+    """Links so far: for each row of either side the weight of its partners, and edges that join
+    what links join. In edges, rows of the other side come after those of this one."""
 
     def __init__(self, wx: np.ndarray, wy: np.ndarray, same: bool):
         self.wx, self.wy, self.same = wx, wy, same
         self.cx, self.cy = np.zeros(len(wx), np.int64), np.zeros(len(wy), np.int64)
-        self.i, self.j = [], []
+        self.base = 0 if same else len(wx)
+        self.new, self.held, self.kept = [], 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
         if self.same:
             i, j = i[i != j], j[i != j]
-        self.cx += np.bincount(i, self.wy[j], len(self.cx)).astype(np.int64)
-        self.cy += np.bincount(j, self.wx[i], len(self.cy)).astype(np.int64)
-        self.i.append(i)
-        self.j.append(j)
+        if len(i):
+            self.new.append((i, j))
+            self.held += len(i)
+            if self.held > 1 << 20:
+                self.flush()
 
     def whole(self, i: np.ndarray, j: np.ndarray) -> None:
         """All pairs of two disjoint sets, joined by a few edges."""
         self.cx[i] += self.wy[j].sum()
         self.cy[j] += self.wx[i].sum()
-        self.i += [i, np.full(len(j), i[0])]
-        self.j += [np.full(len(i), j[0]), j]
+        self.kept += [(i, np.full(len(i), j[0] + self.base)), (np.full(len(j), i[0]), j + self.base)]
+
+    def flush(self) -> None:
+        """Counts the pairs and keeps a forest of them."""
+        if self.new:
+            i, j = (np.concatenate(z) for z in zip(*self.new, strict=True))
+            np.add.at(self.cx, i, self.wy[j])
+            np.add.at(self.cy, j, self.wx[i])
+            self.kept.append((i, j + self.base))
+            self.new, self.held = [], 0
+        self.kept = [forest(*(np.concatenate(z) for z in zip(*self.kept, strict=True)))]
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.concatenate(z) if z else np.zeros(0, np.int64) for z in (self.i, self.j))
+        self.flush()
+        return self.kept[0]
 
 
 def walk(a: Tree, x: np.ndarray, b: Tree, y: np.ndarray, cosine: float, found: Found) -> None:
@@ -134,33 +231,53 @@ def walk(a: Tree, x: np.ndarray, b: Tree, y: np.ndarray, cosine: float, found: F
 
     If both are the same tree, every pair comes from either side, so cx alone counts links."""
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
-    stack = [(0, 0)]
+    stack, basis = [(0, 0)], None
     while stack:
         s, t = stack.pop()
         u = np.arange(a.first[s], a.last[s]) if a.inner[s] else np.array([s])
-        v_all = np.arange(b.first[t], b.last[t]) if b.inner[t] else np.array([t])
-        for ua in range(0, len(u), 512):
-            p = u[ua : ua + 512]
-            for va in range(0, len(v_all), 8192):
-                q = v_all[va : va + 8192]
-                dots = x[a.centre[p]] @ y[b.centre[q]].T
-                bound = a.radius[p][:, None] + b.radius[q][None, :]
-                bound += reach
-                i, j = np.nonzero(dots >= 1 - bound * bound / 2)
-                dot, i, j = dots[i, j], p[i], q[j]
-                r = a.radius[i] + b.radius[j]
-                single = (a.high[i] - a.low[i] == 1) & (b.high[j] - b.low[j] == 1)
-                hit = single & (dot >= cosine)
-                found.pairs(a.order[a.low[i[hit]]], b.order[b.low[j[hit]]])
-                i, j, dot, r = i[~single], j[~single], dot[~single], r[~single]
-                far = np.sqrt(np.maximum(0, 2 - 2 * dot)) + r + SLACK
-                whole = (far < reach) & ((i != j) if found.same else True) & ((a.high[i] - a.low[i]) * (b.high[j] - b.low[j]) > LEAF * LEAF)
-                for m, n in zip(i[whole].tolist(), j[whole].tolist(), strict=True):
-                    found.whole(a.order[a.low[m] : a.high[m]], b.order[b.low[n] : b.high[n]])
-                i, j = i[~whole], j[~whole]
-                leaves = ~a.inner[i] & ~b.inner[j]
-                stack += zip(i[~leaves].tolist(), j[~leaves].tolist(), strict=True)
-                _leaves(a, x, b, y, i[leaves], j[leaves], cosine, found)
+        v = np.arange(b.first[t], b.last[t]) if b.inner[t] else np.array([t])
+        if len(u) * len(v) >= MANY:
+            if basis is None:
+                basis = _basis(np.concatenate([z[:: -(-len(z) // SOME)] for z in (x, y)]), reach)
+            # 1 - (r + q + reach)^2 / 2, the least cosine of centres whose balls may hold a link, is a sum of products
+            f, g = (np.column_stack([_short(z[c], basis), r, *bound]).astype(np.float32) for z, c, r, bound in _sides(a, x, u, b, y, v, reach))
+            for i, j, dot in _close(x, a.centre[u], f, y, b.centre[v], g, 1 - reach * reach / 2 - ROUGH):
+                _decide(a, x, u[i], b, y, v[j], dot, cosine, reach, found, stack)
+            continue
+        for va in range(0, len(v), 8192):
+            q = v[va : va + 8192]
+            dots = x[a.centre[u]] @ y[b.centre[q]].T
+            bound = a.radius[u][:, None] + b.radius[q][None, :]
+            bound += reach
+            i, j = np.nonzero(dots >= 1 - bound * bound / 2)
+            _decide(a, x, u[i], b, y, q[j], dots[i, j], cosine, reach, found, stack)
+    found.flush()
+
+
+def _sides(a, x, u, b, y, v, reach):
+    """For either side its vectors, centres, radii and the two columns of bounds."""
+    for z, c, r, left in ((x, a.centre[u], a.radius[u], True), (y, b.centre[v], b.radius[v], False)):
+        own, one = r * r / 2 + reach * r, np.ones(len(r))
+        yield z, c, r, (own, one) if left else (one, own)
+
+
+def _decide(a, x, i, b, y, j, dot, cosine, reach, found, stack) -> None:
+    """Drops, links as a whole, puts on the stack or looks into each pair of nodes."""
+    r = a.radius[i] + b.radius[j]
+    may = dot >= 1 - (r + reach) ** 2 / 2
+    i, j, dot, r = i[may], j[may], dot[may], r[may]
+    single = (a.high[i] - a.low[i] == 1) & (b.high[j] - b.low[j] == 1)
+    hit = single & (dot >= cosine)
+    found.pairs(a.order[a.low[i[hit]]], b.order[b.low[j[hit]]])
+    i, j, dot, r = i[~single], j[~single], dot[~single], r[~single]
+    far = np.sqrt(np.maximum(0, 2 - 2 * dot)) + r + SLACK
+    whole = (far < reach) & ((i != j) if found.same else True) & ((a.high[i] - a.low[i]) * (b.high[j] - b.low[j]) > LEAF * LEAF)
+    for m, n in zip(i[whole].tolist(), j[whole].tolist(), strict=True):
+        found.whole(a.order[a.low[m] : a.high[m]], b.order[b.low[n] : b.high[n]])
+    i, j = i[~whole], j[~whole]
+    leaves = ~a.inner[i] & ~b.inner[j]
+    stack += zip(i[~leaves].tolist(), j[~leaves].tolist(), strict=True)
+    _leaves(a, x, b, y, i[leaves], j[leaves], cosine, found)
 
 
 def _leaves(a, x, b, y, u, v, cosine, found) -> None:
@@ -175,7 +292,7 @@ def _leaves(a, x, b, y, u, v, cosine, found) -> None:
         i, j = a.order[i[w]], b.order[j]
         for part in range(0, len(i), 1 << 16):
             m, n = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-            hit = np.einsum("ij,ij->i", x[m], y[n]) >= cosine
+            hit = _dots(x, m, y, n) >= cosine
             found.pairs(m[hit], n[hit])
         at = to
 
@@ -186,23 +303,32 @@ def usable(v: str):
     return F.coalesce(~wrong & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def _units(raw: list[bytes], dim: int) -> np.ndarray:
+def _padded(raw: list[bytes], dim: int) -> np.ndarray:
     x = np.zeros((len(raw), dim))
     for k, b in enumerate(raw):
         own = np.frombuffer(b, "<f8")
         x[k, : len(own)] = own
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    return _scaled(_padded(raw, dim))
+
+
 def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(counts, edges): counts (id, links) of the vectors that have a link; edges (a, b) join
     what links join. vectors: id (long, unique), n (weight in counts), v (array of double).
 
-    Every vector is in the cell of the nearest of a bounded number of pivots; a cell is cut
-    into blocks of bounded size. Two blocks meet if the balls of their cells allow it, in a
-    task of its own. Where nothing lies near anything, as in noise of many dimensions, no
-    ball allows anything to be left out and all pairs of blocks meet."""
+    Blocks are of bounded size, cut by a hash. Where the balls around a bounded number of pivots
+    leave out half of all pairs or more, every vector is in the cell of the nearest pivot, blocks
+    are parts of cells, and two meet only if the balls of their cells allow it; elsewhere, as in
+    noise of many dimensions, all pairs of blocks meet. A block's tree is built once, and each
+    pair of blocks is walked in a task of its own."""
     spark = vectors.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +339,7 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
 
     rows = written(vectors.select("id", "n", F.col("v").cast("array<double>")).mapInArrow(pack, "id long, n long, dim int, raw binary"), "vectors")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
-    dim = whole["dim"] or 1
+    dim, size = whole["dim"] or 1, max(block, min(MOST, -(-whole["n"] // PARTS)))
     some = rows.orderBy(F.xxhash64("id")).limit(max(1, min(pivots, whole["n"] // block))).select("raw").collect()
     heads = _units([r["raw"] for r in some], dim) if some else np.ones((1, dim))
 
@@ -224,38 +350,50 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
             far = np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(cell)), cell]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cell, pa.int32()), pa.array(far)], ["id", "n", "raw", "cell", "far"])
 
-    rows = written(rows.mapInArrow(place, "id long, n long, raw binary, cell int, far double"), "cells")
-    cells = {r["cell"]: (r["far"], -(-r["n"] // block)) for r in rows.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    placed = rows.mapInArrow(place, "id long, n long, raw binary, cell int, far double")
+    cells = {r["cell"]: (r["far"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()} if len(heads) > 1 else {}
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
-    meet = [(a, b, cells[a][1], cells[b][1]) for a in sorted(cells) for b in sorted(cells) if a <= b and np.linalg.norm(heads[a] - heads[b]) <= cells[a][0] + cells[b][0] + reach + SLACK]
-    pairs = spark.createDataFrame(meet, "a int, b int, na int, nb int")
+    meet = [(a, b) for a in sorted(cells) for b in sorted(cells) if a <= b and np.linalg.norm(heads[a] - heads[b]) <= cells[a][0] + cells[b][0] + reach + SLACK]
+    if not cells or 2 * sum(cells[a][1] * cells[b][1] * (1 if a < b else 0.5) for a, b in meet) > 0.5 * whole["n"] ** 2:
+        cells, meet, placed = {0: (2.0, whole["n"])}, [(0, 0)], rows.withColumn("cell", F.lit(0))
+    parts = {c: max(1, -(-n // size)) for c, (_, n) in sorted(cells.items())}
+    pairs = spark.createDataFrame([(a, b, parts[a], parts[b]) for a, b in meet], "a int, b int, na int, nb int")
     pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(0), F.col("nb") - 1)))
     ends = F.array(F.struct(F.col("a").alias("cell"), F.col("i").alias("part"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cell"), F.col("j").alias("part"), F.lit(1).alias("side")))
     pairs = pairs.withColumn("pair", F.concat_ws("-", "a", "i", "b", "j")).select("pair", F.inline(ends))
     pairs = pairs.dropDuplicates(["pair", "cell", "part"])  # a block that meets itself comes once
-    number = F.create_map(*[F.lit(z) for c, (_, n) in sorted(cells.items()) for z in (c, n)]) if cells else F.create_map(F.lit(0), F.lit(1))
-    blocks = rows.withColumn("part", F.pmod(F.xxhash64("id"), number[F.col("cell")].cast("long")).cast("int"))
-    blocks = blocks.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("id", "n", "raw"))).alias("z"))
-    blocks = blocks.select("cell", "part", F.col("z.id").alias("ids"), F.col("z.n").alias("ns"), F.col("z.raw").alias("raws"))
+    number = F.create_map(*[F.lit(z) for c, n in parts.items() for z in (c, n)])
+
+    def build(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        x = _padded(pdf["raw"].tolist(), dim)
+        np.savez(out := io.BytesIO(), ids=pdf["id"].to_numpy(np.int64), ns=pdf["n"].to_numpy(np.int64), x=x, **Tree(_scaled(x)).packed())
+        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "block": [out.getvalue()]})
+
+    blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), number[F.col("cell")].cast("long")).cast("int")).select("cell", "part", "id", "n", "raw")
+    blocks = written(blocks.groupBy("cell", "part").applyInPandas(build, "cell int, part int, block binary"), "blocks")
 
     def meeting(key, pdf):
         import pandas as pd
 
-        sides = [(np.asarray(r.ids, np.int64), np.asarray(r.ns, np.int64), _units(list(r.raws), dim)) for r in pdf.sort_values("side").itertuples()]
+        sides = []
+        for block in pdf.sort_values("side")["block"]:
+            with np.load(io.BytesIO(block)) as z:
+                sides.append((z["ids"], z["ns"], _scaled(z["x"]), Tree.unpacked(z)))
         same = len(sides) == 1
-        (ids, ns, x), (jds, ms, y) = sides[0], sides[-1]
-        a = Tree(x)
-        b = a if same else Tree(y)
+        (ids, ns, x, a), (jds, ms, y, b) = sides[0], sides[-1]
         found = Found(ns, ms, same)
         walk(a, x, b, y, cosine, found)
-        i, j = found.edges()
-        e, f = forest(ids[i], jds[j]) if len(i) else (i, j)
+        both = ids if same else np.concatenate([ids, jds])
+        e, f = found.edges()
         has = found.cx > 0
         out = [pd.DataFrame({"id": ids[has], "links": found.cx[has]})]
         if not same:
             has = found.cy > 0
             out.append(pd.DataFrame({"id": jds[has], "links": found.cy[has]}))
-        return pd.concat([*out, pd.DataFrame({"id": e, "other": f})])[["id", "links", "other"]]
+        return pd.concat([*out, pd.DataFrame({"id": both[e], "other": both[f]})])[["id", "links", "other"]]
 
     out = pairs.join(blocks, ["cell", "part"]).groupBy("pair").applyInPandas(meeting, "id long, links long, other long")
     out = written(out, "links")

@@ -1,5 +1,10 @@
 """Cover trees against all pairs."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -73,3 +78,71 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in cover_tree.report(df).collect())
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("7", 0, 7, True), ("None", 2, 5, False)]
     assert not cover_tree.report(df.limit(0)).count()
+
+
+def planted(kind, seed, n, dim):
+    """Unit vectors of a kind, a few of them again at cosines around 0.95, and a crowd of near copies."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    if kind == "mean":
+        x += 1.5 * rng.normal(size=dim)
+    elif kind == "flat":
+        x = rng.normal(size=(n, 6)) @ rng.normal(size=(6, dim)) + 0.05 * x
+    elif kind == "two":
+        x[: n // 2] += 3 * rng.normal(size=dim)
+    x[: n // 20] = x[0] + 0.1 * rng.normal(size=(n // 20, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k, c in enumerate(np.tile([0.9499999, 0.9500001, 0.96, 0.94], n // 40)):
+        away = rng.normal(size=dim)
+        away -= away @ x[-1 - k] * x[-1 - k]
+        x[n // 2 + k] = c * x[-1 - k] + np.sqrt(1 - c * c) * away / np.linalg.norm(away)
+    return x[rng.permutation(n)]
+
+
+@pytest.mark.parametrize("kind", ["noise", "mean", "flat", "two"])
+@pytest.mark.parametrize("dim", [3, 64, 200])
+def test_directions_lose_no_pair(kind, dim):
+    z = planted(kind, dim, 5000, dim)
+    x, y = z[:2600], z[2600:]
+    near = x @ y.T
+    a, b = (cover_tree.Tree(own) for own in (x, y))
+    for t, own in ((a, x), (b, y)):
+        assert sorted(t.order.tolist()) == list(range(len(own)))
+        for k in np.flatnonzero(t.high - t.low > 1):
+            below = own[t.order[t.low[k] : t.high[k]]]
+            assert (np.linalg.norm(below - own[t.centre[k]], axis=1) <= t.radius[k] + 1e-8).all()
+    found = cover_tree.Found(np.full(len(x), 3), np.full(len(y), 2), False)
+    cover_tree.walk(a, x, b, y, 0.95, found)
+    assert found.cx.tolist() == (2 * (near >= 0.95).sum(1)).tolist() and found.cy.tolist() == (3 * (near >= 0.95).sum(0)).tolist()
+    again = cover_tree.Tree.unpacked(b.packed())
+    found = cover_tree.Found(np.ones(len(y), int), np.ones(len(y), int), True)
+    cover_tree.walk(again, y, again, y, 0.95, found)
+    assert found.cx.tolist() == ((y @ y.T >= 0.95).sum(1) - 1).tolist() and found.cx.any()
+
+
+NOISE = """
+import time
+import numpy as np
+from ctxengine.llm import cover_tree
+from tests.llm.test_cover_tree import planted
+
+z = planted("noise", 1, 10000, 64)
+x, y = z[:5000], z[5000:]
+a, b = cover_tree.Tree(x), cover_tree.Tree(y)
+found = cover_tree.Found(np.ones(len(x), int), np.ones(len(y), int), False)
+at = time.process_time()
+cover_tree.walk(a, x, b, y, 0.95, found)
+walked = time.process_time() - at
+at = time.process_time()
+near = x @ y.T >= 0.95
+plain = time.process_time() - at
+assert found.cx.tolist() == near.sum(1).tolist()
+print(walked, plain)
+"""
+
+
+def test_noise_costs_less_than_its_products():
+    """In noise no ball leaves anything out; still a walk must cost less than all products. One thread, as in a task."""
+    done = subprocess.run([sys.executable, "-c", NOISE], cwd=Path(__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
+    walked, plain = map(float, done.stdout.split())
+    assert walked < plain
