@@ -10,8 +10,9 @@ Balls are first compared by a few directions that tell most about their own vect
 of two unit vectors can add to their cosine is at most the product of its lengths, and the radii
 are columns beside it, so a matrix product of short rows drops nearly all pairs and no link.
 
-Trees are built once over bounded blocks of vectors; the top level is the blocks themselves, whose
-balls are tested in the same way before two blocks meet.
+Trees are built over bounded blocks of vectors; the top level is the blocks themselves, whose
+balls are tested in the same way before two blocks meet. Of two blocks that meet, the balls of one
+level are compared first, and only the vectors of balls that may hold a link are sent and walked.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SMALL, LEAF = 2.0**-7, 16
 #: Levels above this radius are left out where they would hold most vectors anyway. Rows that show that, and
 #: the directions. Directions at least, and products from which they are worth while.
 FLAT, SOME, LEAST, MANY = 0.25, 1024, 16, 1 << 18
+#: Directions that a block sends at most.
+SHOWN = 128
 
 
 class Tree:
@@ -76,36 +79,33 @@ class Tree:
         self.low, self.high, self.first, self.last = np.array(low), np.array(high), np.array(first), np.array(last)
         self.inner = self.last > self.first
 
-    ARRAYS = ("order", "centre", "low", "high", "first", "last")
 
-    def packed(self) -> dict[str, np.ndarray]:
-        return {"radius": self.radius} | {k: getattr(self, k).astype(np.int32) for k in self.ARRAYS}
-
-    @classmethod
-    def unpacked(cls, arrays) -> Tree:
-        out = cls.__new__(cls)
-        out.radius = arrays["radius"]
-        for k in cls.ARRAYS:
-            setattr(out, k, arrays[k].astype(np.int64))
-        out.inner = out.last > out.first
-        return out
-
-
-def _basis(x: np.ndarray, reach: float) -> np.ndarray:
-    """Orthonormal directions (columns) in which rows of x mostly differ by far more than reach."""
+def _basis(x: np.ndarray, reach: float, times: float = 3) -> np.ndarray:
+    """Orthonormal directions (columns) in which rows of x mostly differ by far more than reach, the best first."""
     some = x[:: -(-len(x) // SOME)]
     off = some - some.mean(0)
     value, axis = np.linalg.eigh(off.T @ off / len(some))
-    n = int(np.searchsorted(np.cumsum(value[::-1]), 3 * reach * reach)) + 1
+    n = int(np.searchsorted(np.cumsum(value[::-1]), times * reach * reach)) + 1
     return axis[:, ::-1][:, : max(n, LEAST)]
 
 
 def _short(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Each row along the basis, and the length of what is left of it."""
-    head = x @ basis
+    return _rest(x @ basis)
+
+
+def _rest(head: np.ndarray) -> np.ndarray:
     return np.column_stack([head, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", head, head)))])
 
 
+def _bounded(short: np.ndarray, r: np.ndarray, reach: float, left: bool) -> np.ndarray:
+    """Rows whose product with the other side's is at least 1 - reach^2 / 2 where balls may hold a link.
+
+    The centres' cosine is 1 - (r + q + reach)^2 / 2 at least there, and that is a sum of products."""
+    own, one = r * r / 2 + reach * r, np.ones(len(r))
+    return np.column_stack([short, r, *((own, one) if left else (one, own))]).astype(np.float32)
+
+
 def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
     step = 1 << 16
     return np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) for k in range(0, len(i), step)])
@@ -239,8 +239,8 @@ def walk(a: Tree, x: np.ndarray, b: Tree, y: np.ndarray, cosine: float, found: F
         if len(u) * len(v) >= MANY:
             if basis is None:
                 basis = _basis(np.concatenate([z[:: -(-len(z) // SOME)] for z in (x, y)]), reach)
-            # 1 - (r + q + reach)^2 / 2, the least cosine of centres whose balls may hold a link, is a sum of products
-            f, g = (np.column_stack([_short(z[c], basis), r, *bound]).astype(np.float32) for z, c, r, bound in _sides(a, x, u, b, y, v, reach))
+            f = _bounded(_short(x[a.centre[u]], basis), a.radius[u], reach, True)
+            g = _bounded(_short(y[b.centre[v]], basis), b.radius[v], reach, False)
             for i, j, dot in _close(x, a.centre[u], f, y, b.centre[v], g, 1 - reach * reach / 2 - ROUGH):
                 _decide(a, x, u[i], b, y, v[j], dot, cosine, reach, found, stack)
             continue
@@ -254,13 +254,6 @@ def walk(a: Tree, x: np.ndarray, b: Tree, y: np.ndarray, cosine: float, found: F
     found.flush()
 
 
-def _sides(a, x, u, b, y, v, reach):
-    """For either side its vectors, centres, radii and the two columns of bounds."""
-    for z, c, r, left in ((x, a.centre[u], a.radius[u], True), (y, b.centre[v], b.radius[v], False)):
-        own, one = r * r / 2 + reach * r, np.ones(len(r))
-        yield z, c, r, (own, one) if left else (one, own)
-
-
 def _decide(a, x, i, b, y, j, dot, cosine, reach, found, stack) -> None:
     """Drops, links as a whole, puts on the stack or looks into each pair of nodes."""
     r = a.radius[i] + b.radius[j]
@@ -297,29 +290,47 @@ def _leaves(a, x, b, y, u, v, cosine, found) -> None:
         at = to
 
 
+def balls(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Centres (rows of x), radii and sizes of balls of radius FLAT at most, and the ball of each row."""
+    heads, home = _net(x, FLAT)
+    far, size = np.zeros(len(heads)), np.bincount(home, minlength=len(heads))
+    np.maximum.at(far, home, np.linalg.norm(x - x[heads][home], axis=1))
+    return heads, np.where(size > 1, far + SLACK, 0), size, home
+
+
+def sift(heads: np.ndarray, radii: np.ndarray, tops: np.ndarray, radii2: np.ndarray, reach: float, first: int, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which balls of either side may hold a link with one of the other; heads, tops: their centres along the directions.
+
+    The first directions are compared for all, the others for those that these leave. alone: both
+    sides are the same, and these balls hold one vector, which is no link with itself."""
+    limit = 1 - reach * reach / 2 - ROUGH
+    whole = [_bounded(_rest(z), r, reach, left) for z, r, left in ((heads, radii, True), (tops, radii2, False))]
+    short = [_bounded(_rest(z[:, :first]), r, reach, left) for z, r, left in ((heads, radii, True), (tops, radii2, False))]
+    a, b = np.zeros(len(heads), bool), np.zeros(len(tops), bool)
+    for i, j, dot in _close(whole[0], np.arange(len(a)), short[0], whole[1], np.arange(len(b)), short[1], limit):
+        may = dot >= limit
+        if alone is not None:
+            may &= (i != j) | ~alone[i]
+        a[i[may]] = b[j[may]] = True
+    return a, b
+
+
 def usable(v: str):
     """A condition: not null, no null or non-finite component, not zero."""
     wrong = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return F.coalesce(~wrong & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def _padded(raw: list[bytes], dim: int) -> np.ndarray:
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
     x = np.zeros((len(raw), dim))
     for k, b in enumerate(raw):
         own = np.frombuffer(b, "<f8")
         x[k, : len(own)] = own
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     return x
 
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def _units(raw: list[bytes], dim: int) -> np.ndarray:
-    return _scaled(_padded(raw, dim))
-
-
 def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(counts, edges): counts (id, links) of the vectors that have a link; edges (a, b) join
     what links join. vectors: id (long, unique), n (weight in counts), v (array of double).
@@ -327,8 +338,9 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
     Blocks are of bounded size, cut by a hash. Where the balls around a bounded number of pivots
     leave out half of all pairs or more, every vector is in the cell of the nearest pivot, blocks
     are parts of cells, and two meet only if the balls of their cells allow it; elsewhere, as in
-    noise of many dimensions, all pairs of blocks meet. A block's tree is built once, and each
-    pair of blocks is walked in a task of its own."""
+    noise of many dimensions, all pairs of blocks meet. For these a block sends its balls' radii
+    and their centres along a few directions; vectors follow for balls that may hold a link.
+    vectors are read several times, so they should be a table."""
     spark = vectors.sparkSession
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,11 +349,15 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
             raw = [values[s:e].astype("<f8").tobytes() for s, e in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(r) // 8 for r in raw], pa.int32()), pa.array(raw, pa.binary())], ["id", "n", "dim", "raw"])
 
-    rows = written(vectors.select("id", "n", F.col("v").cast("array<double>")).mapInArrow(pack, "id long, n long, dim int, raw binary"), "vectors")
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    vectors = vectors.select("id", "n", F.col("v").cast("array<double>"))
+    rows = vectors.mapInArrow(pack, "id long, n long, dim int, raw binary")
+    whole = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     dim, size = whole["dim"] or 1, max(block, min(MOST, -(-whole["n"] // PARTS)))
-    some = rows.orderBy(F.xxhash64("id")).limit(max(1, min(pivots, whole["n"] // block))).select("raw").collect()
-    heads = _units([r["raw"] for r in some], dim) if some else np.ones((1, dim))
+    some = rows.orderBy(F.xxhash64("id")).limit(max(64, min(SOME, (1 << 19) // dim))).select("raw").collect()
+    some = _units([r["raw"] for r in some], dim) if some else np.eye(1, dim)
+    heads = some[: max(1, min(pivots, whole["n"] // block))]
+    reach = np.sqrt(max(0.0, 2 - 2 * cosine))
+    basis, first = _basis(some, reach, 4.5)[:, :SHOWN], _basis(some, reach).shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +368,6 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
 
     placed = rows.mapInArrow(place, "id long, n long, raw binary, cell int, far double")
     cells = {r["cell"]: (r["far"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()} if len(heads) > 1 else {}
-    reach = np.sqrt(max(0.0, 2 - 2 * cosine))
     meet = [(a, b) for a in sorted(cells) for b in sorted(cells) if a <= b and np.linalg.norm(heads[a] - heads[b]) <= cells[a][0] + cells[b][0] + reach + SLACK]
     if not cells or 2 * sum(cells[a][1] * cells[b][1] * (1 if a < b else 0.5) for a, b in meet) > 0.5 * whole["n"] ** 2:
         cells, meet, placed = {0: (2.0, whole["n"])}, [(0, 0)], rows.withColumn("cell", F.lit(0))
@@ -367,38 +382,56 @@ def linked(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int =
     def build(key, pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("id")
-        x = _padded(pdf["raw"].tolist(), dim)
-        np.savez(out := io.BytesIO(), ids=pdf["id"].to_numpy(np.int64), ns=pdf["n"].to_numpy(np.int64), x=x, **Tree(_scaled(x)).packed())
-        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "block": [out.getvalue()]})
+        x = _units(pdf["raw"].tolist(), dim)
+        centre, radius, count, home = balls(x)
+        np.savez(out := io.BytesIO(), radius=radius, alone=count == 1, heads=(x[centre] @ basis).astype(np.float32))
+        pdf = pdf.assign(node=home.astype(np.int32), balls=None)
+        return pd.concat([pdf, pd.DataFrame({"cell": [key[0]], "part": [key[1]], "id": [0], "n": [0], "raw": [b""], "node": [-1], "balls": [out.getvalue()]})])  # no column with gaps, which pandas would turn to double
 
     blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), number[F.col("cell")].cast("long")).cast("int")).select("cell", "part", "id", "n", "raw")
-    blocks = written(blocks.groupBy("cell", "part").applyInPandas(build, "cell int, part int, block binary"), "blocks")
+    blocks = written(blocks.groupBy("cell", "part").applyInPandas(build, "cell int, part int, id long, n long, raw binary, node int, balls binary"), "blocks")
 
-    def meeting(key, pdf):
+    def sieve(key, pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("side")
         sides = []
-        for block in pdf.sort_values("side")["block"]:
-            with np.load(io.BytesIO(block)) as z:
-                sides.append((z["ids"], z["ns"], _scaled(z["x"]), Tree.unpacked(z)))
+        for z in pdf["balls"]:
+            with np.load(io.BytesIO(z)) as own:
+                sides.append((own["heads"].astype(float), own["radius"], own["alone"]))
+        same = len(sides) == 1
+        a, b = sift(*sides[0][:2], *sides[-1][:2], reach, first, sides[0][2] if same else None)
+        out = [np.flatnonzero(z).astype(np.int32) for z in ([a | b] if same else [a, b])]
+        return pd.concat([pd.DataFrame({"pair": key[0], "cell": r.cell, "part": r.part, "side": r.side, "node": z}) for r, z in zip(pdf.itertuples(), out, strict=True)])
+
+    near = pairs.join(blocks.where("balls is not null").select("cell", "part", "balls"), ["cell", "part"])
+    near = near.groupBy("pair").applyInPandas(sieve, "pair string, cell int, part int, side int, node int")
+    near = written(near, "near").join(blocks.where("balls is null").drop("balls"), ["cell", "part", "node"])
+
+    def meeting(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["side", "id"])
+        sides = [(own["id"].to_numpy(np.int64), own["n"].to_numpy(np.int64), _units(own["raw"].tolist(), dim)) for _, own in pdf.groupby("side")]
         same = len(sides) == 1
-        (ids, ns, x, a), (jds, ms, y, b) = sides[0], sides[-1]
+        (ids, ns, x), (jds, ms, y) = sides[0], sides[-1]
+        a = Tree(x)
+        b = a if same else Tree(y)
         found = Found(ns, ms, same)
         walk(a, x, b, y, cosine, found)
         both = ids if same else np.concatenate([ids, jds])
         e, f = found.edges()
         has = found.cx > 0
-        out = [pd.DataFrame({"id": ids[has], "links": found.cx[has]})]
+        out = [pd.DataFrame({"id": ids[has], "links": found.cx[has], "other": -1})]
         if not same:
             has = found.cy > 0
-            out.append(pd.DataFrame({"id": jds[has], "links": found.cy[has]}))
-        return pd.concat([*out, pd.DataFrame({"id": both[e], "other": both[f]})])[["id", "links", "other"]]
+            out.append(pd.DataFrame({"id": jds[has], "links": found.cy[has], "other": -1}))
+        return pd.concat([*out, pd.DataFrame({"id": both[e], "links": -1, "other": both[f]})])
 
-    out = pairs.join(blocks, ["cell", "part"]).groupBy("pair").applyInPandas(meeting, "id long, links long, other long")
+    out = near.select("pair", "side", "id", "n", "raw").groupBy("pair").applyInPandas(meeting, "id long, links long, other long")
     out = written(out, "links")
-    counts = out.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-    return counts, out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    counts = out.where("links >= 0").groupBy("id").agg(F.sum("links").alias("links"))
+    return counts, out.where("links < 0").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
 def report(embeddings: DataFrame, cosine: float = 0.95, **options) -> DataFrame:

@@ -114,10 +114,20 @@ def test_directions_lose_no_pair(kind, dim):
     found = cover_tree.Found(np.full(len(x), 3), np.full(len(y), 2), False)
     cover_tree.walk(a, x, b, y, 0.95, found)
     assert found.cx.tolist() == (2 * (near >= 0.95).sum(1)).tolist() and found.cy.tolist() == (3 * (near >= 0.95).sum(0)).tolist()
-    again = cover_tree.Tree.unpacked(b.packed())
     found = cover_tree.Found(np.ones(len(y), int), np.ones(len(y), int), True)
-    cover_tree.walk(again, y, again, y, 0.95, found)
+    cover_tree.walk(b, y, b, y, 0.95, found)
     assert found.cx.tolist() == ((y @ y.T >= 0.95).sum(1) - 1).tolist() and found.cx.any()
+    reach, basis = np.sqrt(0.1), cover_tree._basis(z, np.sqrt(0.1), 4.5)
+    (c, r, n, home), (d, q, _, other) = cover_tree.balls(x), cover_tree.balls(y)
+    assert (np.linalg.norm(x - x[c][home], axis=1) <= r[home]).all() and (n == np.bincount(home)).all()
+    i, j = np.nonzero(near >= 0.95)
+    ours, theirs = cover_tree.sift(x[c] @ basis, r, y[d] @ basis, q, reach, 3)
+    assert ours[home[i]].all() and theirs[other[j]].all()
+    i, j = np.nonzero((x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool))
+    ours, theirs = cover_tree.sift(x[c] @ basis, r, x[c] @ basis, r, reach, 3, n == 1)
+    assert ours[home[i]].all() and theirs[home[j]].all()
+    if kind == "noise" and dim == 64:
+        assert ours.sum() < len(ours) / 4  # vectors without a near one stay where they are
 
 
 NOISE = """
@@ -146,3 +156,14 @@ def test_noise_costs_less_than_its_products():
     done = subprocess.run([sys.executable, "-c", NOISE], cwd=Path(__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
     walked, plain = map(float, done.stdout.split())
     assert walked < plain
+
+
+def test_large_ids(spark):
+    ids = [2**60 + k for k in range(40)]
+    x = planted("noise", 2, 40, 8)
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, n long, v array<double>")
+    counts, edges = cover_tree.linked(df, 0.5, block=8)
+    near = x @ x.T >= 0.5
+    np.fill_diagonal(near, False)
+    assert {r["id"]: r["links"] for r in counts.collect()} == {i: int(n) for i, n in zip(ids, near.sum(1), strict=True) if n}
+    assert all(r["a"] in ids and r["b"] in ids for r in edges.collect()) and edges.count()
